@@ -1 +1,8 @@
 """dispatchline: message-triage analytics and data preparation as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
