@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import copies, overlaps, splits
+from . import copies, overlaps, pii, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +121,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message for each group of copies, with its number of copies."""
     return copies.collapsed(read(spark, sf_dir, "messages")).select("row_id", "n_copies", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct stretch of personal data of each message."""
+    return pii.find(read(spark, sf_dir, "messages"), read(spark, sf_dir, "contacts"))
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages with typed placeholders in place of personal data."""
+    return pii.redact(read(spark, sf_dir, "messages"), read(spark, sf_dir, "contacts"))
