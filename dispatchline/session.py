@@ -36,3 +36,12 @@ def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that costs far more than its input is large.
+
+    A frame that already has a partition for each core comes back as it is, so that large inputs aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
