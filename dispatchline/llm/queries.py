@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import copies, overlaps, pii, splits
+from . import copies, overlaps, pii, sentences, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages with typed placeholders in place of personal data."""
     return pii.redact(read(spark, sf_dir, "messages"), read(spark, sf_dir, "contacts"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_char of each sentence."""
+    return sentences.sentences(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "start_char")
+
+
+@query("p8_sentences")
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document in order."""
+    return sentences.sentences(read(spark, sf_dir, "documents"))
