@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read
-from . import copies, overlaps, pii, sentences, splits
+from ..session import checkpointed, read
+from . import copies, mixing, overlaps, packing, pii, sentences, splits
+from .tokens import with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,3 +146,32 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document in order."""
     return sentences.sentences(read(spark, sf_dir, "documents"))
+
+
+@query("p6_packing")
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or of each piece of one that exceeds the capacity."""
+    return packing.pack(checkpointed(with_tokens(read(spark, sf_dir, "documents"))), read(spark, sf_dir, "pack_sizes"))
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.packing_report(p6_packing(spark, sf_dir), read(spark, sf_dir, "pack_sizes"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = with_tokens(read(spark, sf_dir, "documents"), "doc_id bigint, source string")
+    return mixing.mix(counted, read(spark, sf_dir, "mix_targets"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their numbers of copies."""
+    return _mixed(spark, sf_dir).where("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies")
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached, beside their targets."""
+    return mixing.mix_report(_mixed(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
