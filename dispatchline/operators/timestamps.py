@@ -23,7 +23,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import fenced, small_side
 
 # Month names as written by senders.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -45,7 +45,7 @@ SHAPES = [
 
 #: Likelihood of a parse by its distance to the time the row was written: within 3 days, 60 days, beyond.
 NEAR, FAR, REMOTE = 0.90, 0.09, 0.01
-#: Weight of the declared order as pseudo-observations against one of the rest; likelihood of junk.
+#: Weight of the declared order as pseudo-observations, against one of junk and none of the other order; likelihood of junk.
 DECLARED, JUNK = 1e12, 1e-4
 EM_STEPS, SURE = 25, 0.99
 DAY_US = 86_400_000_000
@@ -122,7 +122,7 @@ def parsed(messages: DataFrame, feeds: DataFrame, letters: DataFrame) -> DataFra
     z = letters.select(F.col("zone").alias("_z"), F.col("letters").alias("_l"), F.col("offset_us").alias("_o"))
     m = m.join(F.broadcast(z), (m.zone == z._z) & (m._letters == z._l), "left")  # bounded by the tz database
     mark = F.when(F.col("kind") == "epoch", F.lit(0)).when(F.col("_letters").isin("Z", "UTC", "GMT"), F.lit(0)).when(F.col("_9").rlike(r"^[+-]"), signed).otherwise(F.col("_o"))
-    return m.select("row_id", "feed_id", "written", "zone", "declared", "kind", "wall_dmy", "wall_mdy", mark.cast("bigint").alias("mark_us"), (F.coalesce(F.col("_9"), F.lit("")) != "").alias("marked"))
+    return fenced(m.select("row_id", "feed_id", "written", "zone", "declared", "kind", "wall_dmy", "wall_mdy", mark.cast("bigint").alias("mark_us"), (F.coalesce(F.col("_9"), F.lit("")) != "").alias("marked")))
 
 
 def _likelihood(wall: Column) -> Column:
@@ -139,7 +139,8 @@ def order_mixture(parts: DataFrame) -> DataFrame:
     num = parts.where("kind = 'num'").select("feed_id", "declared", _likelihood(F.col("wall_dmy")).alias("ld"), _likelihood(F.col("wall_mdy")).alias("lm"))
     stats = num.groupBy("feed_id", "declared", "ld", "lm").agg(F.count("*").cast("double").alias("n"))
     per = stats.groupBy("feed_id").agg(F.first("declared", True).alias("declared"), F.collect_list(F.struct("ld", "lm", "n")).alias("s"))
-    prior = lambda order: F.when(F.col("declared") == order, F.lit(DECLARED)).otherwise(F.lit(1.0))
+    other = lambda order: F.lit("mdy" if order == "dmy" else "dmy")
+    prior = lambda order: F.when(F.col("declared") == order, F.lit(DECLARED)).when(F.col("declared") == other(order), F.lit(0.0)).otherwise(F.lit(1.0))
     per = per.withColumns({"pd": prior("dmy"), "pm": prior("mdy")})
 
     def step(w: Column, _: Column) -> Column:
@@ -148,7 +149,6 @@ def order_mixture(parts: DataFrame) -> DataFrame:
         d = F.col("pd") + part(lambda x: x["ld"], w["d"])
         m = F.col("pm") + part(lambda x: x["lm"], w["m"])
         j = F.lit(1.0) + part(lambda x: F.lit(JUNK), w["j"])
-        # the declared prior is kept as a ratio, so the weights stay comparable between sources
         return F.struct((d / (d + m + j)).alias("d"), (m / (d + m + j)).alias("m"), (j / (d + m + j)).alias("j"))
 
     start = F.struct((F.col("pd") / (F.col("pd") + F.col("pm") + 1)).alias("d"), (F.col("pm") / (F.col("pd") + F.col("pm") + 1)).alias("m"), (1 / (F.col("pd") + F.col("pm") + 1)).alias("j"))
@@ -197,4 +197,4 @@ def normalise_timestamps(messages: DataFrame, feeds: DataFrame) -> DataFrame:
     )
     utc = F.when(F.col("mark_us").isNotNull(), F.col("wall") - F.col("mark_us")).when(F.col("_ok1"), F.col("_u1")).otherwise(F.col("_u2"))
     m = m.withColumn("status", status)
-    return m.select("row_id", "feed_id", "kind", F.when(F.col("status") == "resolved", utc).alias("utc_us"), "status", F.when(readable, F.col("posterior")).alias("posterior"))
+    return fenced(m.select("row_id", "feed_id", "kind", F.when(F.col("status") == "resolved", utc).alias("utc_us"), "status", F.when(readable, F.col("posterior")).alias("posterior")))

@@ -54,3 +54,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     if shared is None and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='dispatchline-')}/{name}-{uuid.uuid4().hex}"
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows, through ``inline``: filters above aren't rewritten with the long expressions below.
+
+    Without it a filter on a column that is computed in several steps is pushed to the scan as one expression in which
+    each step is copied wherever it is used, which outgrows the limit of generated code.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
