@@ -257,7 +257,8 @@ def find(messages: DataFrame, contacts: DataFrame, fields: tuple[str, ...] = ("b
                             names.append(field)
                             kinds.append(kind)
                             texts.append(span)
-            yield pd.DataFrame({"row_id": ids, "field_name": names, "pii_kind": kinds, "span_text": texts})
+            if ids:
+                yield pd.DataFrame({"row_id": ids, "field_name": names, "pii_kind": kinds, "span_text": texts})
 
     return messages.select("row_id", *fields).mapInPandas(run, "row_id bigint, field_name string, pii_kind string, span_text string")
 
