@@ -53,7 +53,7 @@ BEFORE = re.compile(r"(?:my name is|ask for|speak to|neighbour called|it is|name
 UNSIGNED = re.compile(r"(?<!\w)(?:have|the|a|my|our|your|at|of|it|in|around|near|behind|above|to|is|and|or)[ ]*$")
 AFTER = re.compile(r" (?:has the keys|upstairs|let them in|again(?!\w))")
 TITLE_BEFORE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? $")
-INITIAL_BEFORE = re.compile(r"(?<![\w'’.])[^\W\d_]\. ?$")
+INITIAL_BEFORE = re.compile(r"(?<![\w'’.-])[^\W\d_]\. ?$")
 TAIL = re.compile(r"[^\W_]")
 WORD = re.compile(r"[^\W\d_][\w'’-]*")
 FAMILY_FORM = re.compile(r"(?:o['’])?[^\W\d_]{2,}(?:den|sley|bray|vall|mund|gar|rane)$")
@@ -202,7 +202,7 @@ def spans(text: str, ac, given: set[str], family: set[str], whole: bool = False)
         before = t[max(0, s - 30) : s]
         if kind != "given" or both:
             m = INITIAL_BEFORE.search(before)
-            if m and not (kind != "family" and both):
+            if m and not (kind != "family" and both) and free(s - len(before) + m.start(), s):
                 s, both = s - len(before) + m.start(), True
                 before = t[max(0, s - 30) : s]
         word = t[s:e]

@@ -32,6 +32,7 @@ def find(spark, rows, contacts=CONTACTS):
         ("I hope to hear, have faith; the art of the drake", []),
         ("no rush, Hope", [("name", "Hope")]),
         ("Neighbour called A. O'Healgar let them in", [("name", "A. O'Healgar")]),
+        ("My ID is QQ 12 34 56 D. Trounbray, Art has the keys. Ref qx-1-c. Drake upstairs", [("idnum", "QQ 12 34 56 D"), ("name", "Drake"), ("name", "Trounbray, Art")]),
         ("104 Drake Street is the house", [("address", "104 Drake Street")]),
         ("", []), ("?", []),
     ],
