@@ -13,11 +13,11 @@ PER_DAY, BUDGET = 90, 10  # fixed values: messages and alerts a day
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     """Bounds of the Wilson interval; (0, 1) without observations."""
-    p, z2 = F.try_divide(k, n), Z * Z
-    centre, half = p + z2 / (2 * n), Z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z2), 4 * n * n))
-    low, high = F.try_divide(centre - half, 1 + F.try_divide(F.lit(z2), n)), F.try_divide(F.try_divide(p * 2 * n + z2, 2 * n) + half, 1 + F.try_divide(F.lit(z2), n))
-    low = F.try_divide(p + F.try_divide(F.lit(z2), 2 * n) - half, 1 + F.try_divide(F.lit(z2), n))
-    high = F.try_divide(p + F.try_divide(F.lit(z2), 2 * n) + half, 1 + F.try_divide(F.lit(z2), n))
+    p, z2 = F.try_divide(k, n), F.lit(Z * Z)
+    centre = p + F.try_divide(z2, 2 * n)
+    half = Z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(z2, 4 * n * n))
+    scale = 1 + F.try_divide(z2, n)
+    low, high = F.try_divide(centre - half, scale), F.try_divide(centre + half, scale)
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), low)), F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), high))
 
 
@@ -71,3 +71,10 @@ def alert_grid(scores: DataFrame, p: str = "p") -> DataFrame:
 def alert_threshold(scores: DataFrame, p: str = "p", budget: float = BUDGET) -> DataFrame:
     """The smallest threshold within the budget; null where there is none."""
     return alert_grid(scores, p).where(F.col("alerts_per_day") <= budget).agg(F.min("threshold").alias("threshold"))
+
+
+def share_text(k: Column, n: Column) -> Column:
+    """``k/n=xx% (CI lo-hi)``; without observations ``0/0``."""
+    low, high = wilson(k, n)
+    whole = lambda x: F.bround(100 * x).cast("int")
+    return F.when(n == 0, F.lit("0/0")).otherwise(F.format_string("%d/%d=%d%% (CI %d-%d)", k.cast("int"), n.cast("int"), whole(F.try_divide(k, n)), whole(low), whole(high)))

@@ -63,3 +63,8 @@ def number_new_groups(rows: DataFrame, base: DataFrame, order: str, column: str
     before = sizes.select("_pid", "_least", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))  # a row a partition
     out = laid.join(F.broadcast(before), "_pid").crossJoin(F.broadcast(next_group(base, column)))
     return out.withColumn(column, F.col("next_group") + F.col("_before") + F.col("_k") - F.col("_least")).drop("_pid", "_k", "_n", "_least", "_before", "next_group")
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key, read with the filter pushed to the scan; null finds nothing."""
+    return rows.where(F.col(key) == F.lit(value))

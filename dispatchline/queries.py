@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import text
 from .operators import metrics, model, retrieval, rules, setjoin, store, timestamps
 from .plans import classify
@@ -448,6 +449,38 @@ def knn_vote_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vote(_dense(spark, sf_dir), 0.35)
 
 
+POOL_SQL = f"""
+WITH r AS (SELECT b.row_id AS id, b.label_source, {_label('b.label')} AS label, m.body FROM combined b JOIN messages m USING (row_id)),
+w AS (SELECT id, ' ' || unnest(list_filter(string_split({_sq('body')}, ' '), lambda w: w <> '')) || ' ' AS w FROM r),
+n AS (SELECT id, w, unnest([3, 4, 5]) AS n FROM w),
+g AS (SELECT id, substr(w, CAST(unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS INT), n) AS gram FROM n WHERE length(w) >= n OR n = 3),
+n_docs AS (SELECT count(DISTINCT id) AS n FROM g), d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY gram),
+i AS (SELECT gram, ln((1 + n) / (1 + df)) + 1 AS idf FROM d, n_docs),
+t AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM g JOIN i USING (gram) GROUP BY id, gram),
+v AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM t),
+s AS (SELECT q.id AS query_id, v.id, round(sum(q.w * v.w), 9) AS sim FROM v q JOIN v USING (gram)
+  WHERE q.id IN (SELECT id FROM r WHERE id % 50 = 0 AND label_source = 'none') AND v.id IN (SELECT id FROM r WHERE label_source = 'gold_train' AND label IS NOT NULL) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 5),
+x AS (SELECT query_id, label, sum(sim) AS w, max(sim) AS top FROM k JOIN r USING (id) GROUP BY ALL),
+b AS (SELECT query_id, max(top) AS top, sum(w) AS total, arg_max({{'l': label, 'w': w}}, {{'w': round(w, 6), 'r': {_rank('label')}}}) AS best FROM x GROUP BY query_id)
+SELECT query_id, CASE WHEN top >= 0.6 THEN best.l END AS label, CASE WHEN top >= 0.6 THEN round(best.w / total, 5) END AS confidence FROM b
+"""
+
+
+@query("pseudo_labels", POOL_SQL)
+def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for unlabelled rows (id divisible by 50) by the vote of their five nearest gold training rows; none below 0.6."""
+    b = read(spark, sf_dir, "combined").select(F.col("row_id").alias("id"), "label_source", text.plain_label(F.col("label")).alias("label"))
+    rows = b.join(read(spark, sf_dir, "messages").select(F.col("row_id").alias("id"), "body"), "id")
+    v = rows.select("id", F.lit(None).cast("bigint").alias("grp"), text.char_grams(text.squeezed(F.col("body"))).alias("grams"))
+    v = checkpointed(retrieval.vectors(v, F.col("grams")))
+    gold = b.where("label_source = 'gold_train' AND label IS NOT NULL").select("id", "label")
+    asked = b.where("id % 50 = 0 AND label_source = 'none'").select("id")
+    near = retrieval.top_k(v.join(asked, "id", "left_semi"), v.join(gold, "id", "left_semi"), 5).join(gold, "id")
+    out = retrieval.vote(near, 0.6, text.rank(F.col("label")))
+    return out.select("query_id", "label", F.round("confidence", 5).alias("confidence"))
+
+
 # --- calibration ------------------------------------------------------------------------------------------------------
 
 GRID_SQL = """
@@ -605,6 +638,15 @@ def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count("*").alias("n"))
 
 
+_BROKEN = "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({sql}, false) THEN '{name}' END" for name, sql in schema.CHECKS["corpus"].items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query("quarantined_corpus", f"SELECT array_to_string(b, ',') AS broken, count(*) AS n FROM (SELECT {_BROKEN} AS b FROM corpus) WHERE len(b) > 0 GROUP BY ALL")
+def quarantined_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the retrieval pool that break a condition, counted by which."""
+    return schema.quarantined(read(spark, sf_dir, "corpus"), "corpus").groupBy(F.array_join("broken", ",").alias("broken")).agg(F.count("*").alias("n"))
+
+
 # --- models and streams -----------------------------------------------------------------------------------------------
 
 

@@ -170,3 +170,22 @@ def test_model_artifacts_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest.run_once(ingest.ingest(ingest.arriving(spark, str(tmp_path / "in")), k), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_lookup_quarantine_and_share(spark):
+    from dispatchline import schema
+
+    rows = spark.createDataFrame([("h", "routine", 5), ("g", "maybe", 500), (None, None, None)], "body_hash string, urgency string, score int")
+    assert store.lookup(rows, "body_hash", "h").count() == 1
+    assert store.lookup(rows, "body_hash", None).count() == 0
+    assert schema.good(rows, "classifications").count() == 1
+    assert sorted(r.broken for r in schema.quarantined(rows, "classifications").collect()) == [["bad_urgency", "bad_score"], ["no_body_hash", "bad_urgency", "bad_score"]]
+    assert spark.range(1).select(metrics.share_text(F.lit(9), F.lit(22)), metrics.share_text(F.lit(0), F.lit(0))).first()[:] == ("9/22=41% (CI 23-61)", "0/0")
+
+
+def test_retrain(spark, tmp_path):
+    from dispatchline.plans.retrain import retrain
+
+    rows = spark.createDataFrame([(i, f"h{i % 30}", f"{'water leak now' if i % 3 == 0 else 'please send the invoice'} {i % 5}", "Emergency" if i % 3 == 0 else "routine") for i in range(60)] + [(90, None, "x", None)], "row_id bigint, core_hash string, body string, label string")
+    config = retrain(rows, str(tmp_path / "m"), folds=2)
+    assert (config["version"], config["train_rows"], config["class_counts"]["emergency"]) == (1, 30, 10)
