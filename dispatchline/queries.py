@@ -428,7 +428,7 @@ def few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DENSE_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS sim FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 5),
 w AS (SELECT query_id, label, sum(sim) AS w, max(sim) AS top FROM k GROUP BY query_id, label),
 b AS (SELECT query_id, max(top) AS top, sum(w) AS total, arg_max({'l': label, 'w': w}, {'w': round(w, 6), 'l': label}) AS best FROM w GROUP BY query_id)
