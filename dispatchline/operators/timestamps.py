@@ -23,7 +23,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fenced, small_side
+from ..session import fenced, small_side, spread
 
 # Month names as written by senders.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -165,6 +165,7 @@ def normalise_timestamps(messages: DataFrame, feeds: DataFrame) -> DataFrame:
     spark = messages.sparkSession
     names = [r[0] for r in feeds.select("zone_name").where("zone_name is not null").distinct().limit(1000).collect()]  # names of the tz database
     letters = spark.createDataFrame(zone_letters(names), "zone string, letters string, offset_us bigint")
+    messages = spread(messages.select("row_id", "feed_id", "received_at", "created_at"))
     m = parsed(messages, feeds, letters)
     numeric = messages.where(F.col("received_at").rlike(r"^\s*\d{1,2}[/.\-]\d{1,2}[/.\-]"))
     w = small_side(order_mixture(parsed(numeric, feeds, letters))).withColumnRenamed("feed_id", "_wf")

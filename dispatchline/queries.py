@@ -11,7 +11,7 @@ from . import schema
 from .functions import text
 from .operators import metrics, model, retrieval, rules, setjoin, store, timestamps
 from .plans import classify
-from .session import checkpointed, read, scratch
+from .session import checkpointed, read, scratch, spread
 from .sources import files
 from .streaming import ingest
 
@@ -104,12 +104,12 @@ def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normalise_cold", f"SELECT row_id, {_cold('body')} AS norm FROM messages")
 def normalise_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "messages").select("row_id", text.core_text(F.col("body")).alias("norm"))
+    return spread(read(spark, sf_dir, "messages").select("row_id", "body")).select("row_id", text.core_text(F.col("body")).alias("norm"))
 
 
 @query("core_hash", f"SELECT row_id, sha1({_cold('body')})[1:16] AS core_hash FROM messages")
 def core_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "messages").select("row_id", text.core_hash(F.col("body")).alias("core_hash"))
+    return spread(read(spark, sf_dir, "messages").select("row_id", "body")).select("row_id", text.core_hash(F.col("body")).alias("core_hash"))
 
 
 @query(
@@ -165,7 +165,7 @@ def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, k = read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications")
-    m = m.select("row_id", "message_id", "body", "created_at", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
+    m = spread(m.select("row_id", "message_id", "body", "created_at")).select("row_id", "message_id", "body", "created_at", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
     k = k.select("body_hash", text.plain_label(F.col("llm_urgency")).alias("label"), text.plain_label(F.col("urgency")).alias("urgency"), "score", "reason")
     return m.join(k, "body_hash").withColumn("floored", rules.floor_label(F.col("hits"), F.col("label"), rules.DESK_RULES))
 
@@ -378,7 +378,7 @@ GUARD = "(q.dup_group IS NULL OR v.dup_group IS NULL OR q.dup_group <> v.dup_gro
 
 def _vectors(spark: SparkSession, sf_dir: str, guarded: bool) -> DataFrame:
     group = F.col("dup_group") if guarded else F.lit(None).cast("bigint")
-    c = read(spark, sf_dir, "corpus").select("id", group.alias("grp"), text.char_grams(text.squeezed(F.col("body"))).alias("grams"))
+    c = spread(read(spark, sf_dir, "corpus").select("id", "dup_group", "body")).select("id", group.alias("grp"), text.char_grams(text.squeezed(F.col("body"))).alias("grams"))
     return checkpointed(retrieval.vectors(c, F.col("grams")))
 
 
@@ -389,7 +389,7 @@ def _top(spark: SparkSession, sf_dir: str, guarded: bool, k: int = 3) -> DataFra
 
 @query("tfidf_idf", IDF_SQL.rstrip().rstrip(",") + " SELECT gram, df, round(idf, 9) AS idf FROM i")
 def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "corpus").select("id", F.explode(text.char_grams(text.squeezed(F.col("body")))).alias("gram"))
+    g = spread(read(spark, sf_dir, "corpus").select("id", "body")).select("id", F.explode(text.char_grams(text.squeezed(F.col("body")))).alias("gram"))
     return retrieval.idf(g).select("gram", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -519,7 +519,7 @@ z AS (SELECT row_id, truth, 'always_routine' AS system, 'routine' AS predicted F
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "combined").where(F.col("label_source").isin("gold_train", "gold_test")).select("row_id", text.plain_label(F.col("label")).alias("truth"))
-    m = read(spark, sf_dir, "messages").select("row_id", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
+    m = spread(read(spark, sf_dir, "messages").select("row_id", "body")).select("row_id", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
     k = read(spark, sf_dir, "classifications").select("body_hash", text.plain_label(F.col("urgency")).alias("final"), text.plain_label(F.col("llm_urgency")).alias("label"), "score")
     x = b.join(m, "row_id").join(k, "body_hash", "left")
     return x.withColumns({"floored": rules.floor_label(F.col("hits"), F.col("label"), rules.DESK_RULES), "by_rules": rules.floor_label(F.col("hits"), F.lit("routine"), rules.DESK_RULES)})
