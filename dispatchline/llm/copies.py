@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, small_side
+from ..session import checkpointed, small_side, spread
 
 #: Characters without width that senders' systems scatter, also before a label.
 INVISIBLE = r"[\u00ad\u200b-\u200f\u2060\ufeff]"
@@ -79,7 +79,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(records: DataFrame, id_col: str = "row_id", text_col: str = "body") -> DataFrame:
     """row_id, rep: each record with the smallest id among its copies (its own where it has none)."""
-    keys = records.select(F.col(id_col).alias("row_id"), canonical(F.col(text_col)).alias("key")).where("key != ''")
+    keys = spread(records.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))).select("row_id", canonical(F.col("text")).alias("key")).where("key != ''")
     keys = keys.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64("key", F.lit(1))})
     # 128 bits of hash order the records; ids split a hot group; full keys decide in the scan
     laid = keys.repartitionByRange("h1", "h2", "row_id").sortWithinPartitions("h1", "h2", "row_id").select("row_id", "key")

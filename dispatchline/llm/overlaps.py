@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 SIMILAR = 0.8
 FREQUENT = 50_000
@@ -79,7 +79,7 @@ def similar_texts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(id_eval, id_train) of rows (id, side, text) with side 'eval' or 'train' whose word sets share at least
     ``similar`` of their union, in groups of equal word sets: (rep_eval, rep_train) plus membership."""
     spark = rows.sparkSession
-    w = rows.select("id", "side", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("words", F.array_sort("words"))
+    w = spread(rows).select("id", "side", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("words", F.array_sort("words"))
     w = w.withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64("words", F.lit(1))})
     w = checkpointed(w)
     member = w.select("id", "side", "s1", "s2")

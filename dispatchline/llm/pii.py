@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 MAX_NAMES = 200_000
 
 # Words and forms of the desk's languages.
@@ -260,7 +262,7 @@ def find(messages: DataFrame, contacts: DataFrame, fields: tuple[str, ...] = ("b
             if ids:
                 yield pd.DataFrame({"row_id": ids, "field_name": names, "pii_kind": kinds, "span_text": texts})
 
-    return messages.select("row_id", *fields).mapInPandas(run, "row_id bigint, field_name string, pii_kind string, span_text string")
+    return spread(messages.select("row_id", *fields)).mapInPandas(run, "row_id bigint, field_name string, pii_kind string, span_text string")
 
 
 def redact(messages: DataFrame, contacts: DataFrame, fields: tuple[str, ...] = ("body", "from_name")) -> DataFrame:
@@ -281,4 +283,4 @@ def redact(messages: DataFrame, contacts: DataFrame, fields: tuple[str, ...] = (
         for pdf in batches:
             yield pd.DataFrame({"row_id": pdf["row_id"]} | {f: [clean(x, ac, f == "from_name") for x in pdf[f]] for f in fields})
 
-    return messages.select("row_id", *fields).mapInPandas(run, "row_id bigint, " + ", ".join(f"{f} string" for f in fields))
+    return spread(messages.select("row_id", *fields)).mapInPandas(run, "row_id bigint, " + ", ".join(f"{f} string" for f in fields))
