@@ -90,14 +90,17 @@ MASKS = [
     (rf"\.(?<={DOT}\d{{1,2}}\.)(?={WS}um{WS})", DOT),
     # the number of a list entry
     (r"(?m)^(\s*\d{1,3})\.(?=[ \t])", f"$1{DOT}"),
-    # inside quotations
-    _in_quotes(r"(?<![\?!\.,\p{L}])“", "”", "“”"),
-    _in_quotes("„", "“”", "„“”"),
-    _in_quotes("«", "»", "«»"),
-    _in_quotes("「", "」", "「」"),
-    _in_quotes(OPEN, CLOSE, OPEN + CLOSE),
 ]
 
+#: Terminators inside quotations: opening mark, closing marks, mask. Each is tried only on texts that have both marks.
+QUOTATIONS = [
+    ("“", "”", _in_quotes(r"(?<![\?!\.,\p{L}])“", "”", "“”")),
+    ("„", "“”", _in_quotes("„", "“”", "„“”")),
+    ("«", "»", _in_quotes("«", "»", "«»")),
+    ("「", "」", _in_quotes("「", "」", "「」")),
+    (OPEN, CLOSE, _in_quotes(OPEN, CLOSE, OPEN + CLOSE)),
+]
+
 #: In mixed case a sentence starts with anything but a small letter; small letters go on after a dash, too.
 START_CASED = (
     rf"((?:{ENDS}|{GREEK}){CLOSERS})({WS}+)(?=\p{{Ll}}\p{{Lu}}|(?!\p{{Ll}}|{NOT_NEXT}|[—–\-]{WS}*\p{{Ll}}|{WS})"
@@ -115,14 +118,28 @@ START_FULL_WIDTH = rf"([。！？](?!{SHIELD})[）】]*)({WS}*)(?![。！？…
 START_THAI = rf"({THAI_END})({WS}+)(?=\S)"
 
 
-def cut(text: Column, wrapped: Column) -> Column:
-    """The masked text with a boundary mark before each new sentence."""
+def masked(text: Column, wrapped: Column) -> Column:
+    """The text with masks for everything outside quotations that looks like a boundary and is none."""
     x = F.translate(text, DOT + WRAP + OPEN + CLOSE + SHIELD + CUT, "\ufffd" * 6)
     x = F.when(wrapped, F.regexp_replace(x, r"\n(?<!\n[ \t\r]{0,40}\n)(?![ \t\r]*\n)", WRAP)).otherwise(x)
     x = F.regexp_replace(x, rf'(?m)(^|(?<=[\(\[—–\-:,]|{WS}))"(?=\S)', OPEN)
     x = F.translate(x, '"', CLOSE)
     for pattern, to in MASKS:
         x = F.regexp_replace(x, pattern, to)
+    return x
+
+
+def quotations_masked(docs: DataFrame, column: str) -> DataFrame:
+    """Masks inside quotations; a projection for each, as the text so far is used more than once."""
+    for opening, closing, mask in QUOTATIONS:
+        x = F.col(column)
+        quoted = x.contains(opening) & F.rlike(x, F.lit(f"[{closing}]"))
+        docs = docs.withColumn(column, F.when(quoted, F.regexp_replace(x, *mask)).otherwise(x))
+    return docs
+
+
+def cut(x: Column, text: Column) -> Column:
+    """The masked text x with a boundary mark before each new sentence."""
     one_case = (F.lower(text) == text) | (F.upper(text) == text)
     cased = F.regexp_replace(x, START_CASED, f"$1$2{CUT}")
     y = F.regexp_replace(x, *_dot_after(MAY_END, rf"(?={WS}+(?iu:{_any(GO_ON)})(?!\p{{L}}))"))
@@ -144,7 +161,9 @@ def sentences(documents: DataFrame, wrapped_sources: tuple[str, ...] = WRAPPED,
     """doc_id, sent_no, start_char (1-based place of the first character that isn't white space) and sentence."""
     source = F.regexp_replace(F.lower(F.trim("source")), r"[\s\-]+", "_")
     wrapped = F.coalesce(source.isin(*wrapped_sources), F.lit(False))
-    docs = spread(documents.where("text is not null").select("doc_id", "text", "source")).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split(cut(F.col("text"), wrapped), CUT).alias("_parts"))
+    docs = spread(documents.where("text is not null").select("doc_id", "text", "source"))
+    docs = quotations_masked(docs.select("doc_id", "text", masked(F.col("text"), wrapped).alias("_masked")), "_masked")
+    docs = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split(cut(F.col("_masked"), F.col("text")), CUT).alias("_parts"))
     parts = docs.select("doc_id", "_row", F.posexplode("_parts").alias("_no", "_part")).withColumn("_part", restored(F.col("_part")))
     lead = rf"(?s)^{WS}*"
     parts = parts.select("doc_id", "_row", "_no", F.length("_part").alias("_size"), F.length(F.regexp_replace("_part", lead, "")).alias("_rest"), F.rlike("_part", F.lit(r"[\p{L}\p{N}\p{So}]")).alias("_is"), *([F.regexp_replace("_part", rf"{lead}|{WS}*$", "").alias("sentence")] if with_text else []))
