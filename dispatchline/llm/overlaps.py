@@ -70,7 +70,7 @@ def _blocks(frequent: np.ndarray, rank: np.ndarray, similar: float):
                 if n > PAIR_BLOCKS * similar:
                     own.append(mixed[s : s + n - need + 1].view(np.int64))
                 keys.append(np.concatenate(own) if own else np.empty(0, np.int64))
-            yield pd.DataFrame({"rep": pdf["rep"], "side": pdf["side"], "n": sizes.astype(np.int32), "folded": folded, "keys": keys})
+            yield pd.DataFrame({"rep": pdf["rep"], "n": sizes.astype(np.int32), "folded": folded, "keys": keys})
 
     return run
 
@@ -90,10 +90,13 @@ def similar_texts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     frequent = np.array([r[0] for r in counts], np.int64)
     by = np.argsort(frequent, kind="stable")
     rank = np.array([r[1] for r in counts], np.int64)[by]
-    coded = sets.select("rep", "side", "words").mapInPandas(_blocks(frequent[by], rank, similar), "rep bigint, side string, n int, folded bigint, keys array<bigint>")
-    coded = coded.select("side", "rep", "n", "folded", F.explode("keys").alias("key"))
-    e = coded.where("side = 'eval'").select("key", F.col("rep").alias("rep_eval"), F.col("n").alias("ne"), F.col("folded").alias("fe"))
-    t = coded.where("side = 'train'").select("key", F.col("rep").alias("rep_train"), F.col("n").alias("nt"), F.col("folded").alias("ft"))
+    blocks = _blocks(frequent[by], rank, similar)
+
+    def coded(side: str, n: str, folded: str) -> DataFrame:
+        own = sets.where(F.col("side") == side).select("rep", "words").mapInPandas(blocks, "rep bigint, n int, folded bigint, keys array<bigint>")
+        return own.select(F.explode("keys").alias("key"), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(n), F.col("folded").alias(folded))
+
+    e, t = coded("eval", "ne", "fe"), coded("train", "nt", "ft")
     within = F.bit_count(F.col("fe").bitwiseXOR(F.col("ft"))) <= F.floor((F.col("ne") + F.col("nt")) * ((1 - similar) / (1 + similar)) + 1e-9)
     sized = (F.least("ne", "nt") >= F.greatest("ne", "nt") * similar - 1e-9)
     near = e.join(t, "key").where(sized & within).select("rep_eval", "rep_train").distinct()
