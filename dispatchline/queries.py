@@ -485,7 +485,7 @@ def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRID_SQL = """
 WITH p AS (SELECT score / 100.0::DOUBLE AS p FROM classifications WHERE score IS NOT NULL),
-t AS (SELECT round(0.05 + 0.005 * unnest(range(181)), 3) AS threshold),
+t AS (SELECT round(0.05 + 0.005 * unnest(range(181)), 3)::DOUBLE AS threshold),
 grid AS (SELECT threshold, count(p) AS flagged, round(count(p) / (SELECT count(*) FROM p) * 90.0, 6) AS alerts_per_day FROM t LEFT JOIN p ON p.p >= t.threshold - 5e-12 GROUP BY threshold)
 """
 
