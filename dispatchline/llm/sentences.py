@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import fenced, spread
 
 WRAPPED = ("email_archive",)
 
@@ -163,7 +163,8 @@ def sentences(documents: DataFrame, wrapped_sources: tuple[str, ...] = WRAPPED,
     wrapped = F.coalesce(source.isin(*wrapped_sources), F.lit(False))
     docs = spread(documents.where("text is not null").select("doc_id", "text", "source"))
     docs = quotations_masked(docs.select("doc_id", "text", masked(F.col("text"), wrapped).alias("_masked")), "_masked")
-    docs = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split(cut(F.col("_masked"), F.col("text")), CUT).alias("_parts"))
+    # fenced: the filter on empty arrays that is inferred for posexplode would be rewritten with all the masks below
+    docs = fenced(docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split(cut(F.col("_masked"), F.col("text")), CUT).alias("_parts")))
     parts = docs.select("doc_id", "_row", F.posexplode("_parts").alias("_no", "_part")).withColumn("_part", restored(F.col("_part")))
     lead = rf"(?s)^{WS}*"
     parts = parts.select("doc_id", "_row", "_no", F.length("_part").alias("_size"), F.length(F.regexp_replace("_part", lead, "")).alias("_rest"), F.rlike("_part", F.lit(r"[\p{L}\p{N}\p{So}]")).alias("_is"), *([F.regexp_replace("_part", rf"{lead}|{WS}*$", "").alias("sentence")] if with_text else []))
