@@ -1,7 +1,8 @@
 """The retrainable classifier: hashed word and character grams, balanced logistic regression, versioned artifacts.
 
 The vocabulary is hashed, so nothing grows with the corpus; IDF has the +1 of the usual definition and each block is
-scaled to length 1. Out-of-fold scores use folds by duplicate group, so near copies never sit on both sides.
+scaled to length 1. Out-of-fold scores use five folds by group of near duplicates (``setjoin.near_duplicate_groups`` of the
+core texts' words), so near copies never sit on both sides.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LABELS, char_grams, rank, word_grams
+from ..functions.text import LABELS, char_grams, core_text, rank, tokens, word_grams
+from ..session import checkpointed
+from . import setjoin
 
 FEATURES = 1 << 12
 
@@ -55,10 +58,16 @@ def scored(model: PipelineModel, rows: DataFrame, text_col: str = "body") -> Dat
     return out.select(*rows.columns, F.get(F.array(*[F.lit(x) for x in LABELS]), F.col("prediction").cast("int")).alias("predicted"), (1 - p[0]).alias("p_urgent"))
 
 
-def out_of_fold(train: DataFrame, folds: int = 3, group_col: str = "core_hash", text_col: str = "body", label_col: str = "label") -> DataFrame:
-    """Each row scored by a model that saw no row of its group."""
-    dealt = train.withColumn("fold", F.pmod(F.xxhash64(group_col), F.lit(folds)))
-    parts = [scored(fit(dealt.where(F.col("fold") != k), text_col, label_col), dealt.where(F.col("fold") == k), text_col) for k in range(folds)]
+def dealt(rows: DataFrame, folds: int = 5, text_col: str = "body") -> DataFrame:
+    """Adds ``fold``: that of the row's group of near duplicates. Rows (by ``row_id``) without words form one group."""
+    groups = setjoin.near_duplicate_groups(rows, "row_id", tokens(core_text(F.col(text_col)))).select(F.col("id").alias("row_id"), "root")
+    return rows.join(groups, "row_id", "left").withColumn("fold", F.pmod(F.xxhash64(F.coalesce("root", F.lit(-1))), F.lit(folds))).drop("root")
+
+
+def out_of_fold(train: DataFrame, folds: int = 5, text_col: str = "body", label_col: str = "label") -> DataFrame:
+    """Each row scored by a model that saw no row of its group of near duplicates."""
+    rows = checkpointed(dealt(train, folds, text_col))
+    parts = [scored(fit(rows.where(F.col("fold") != k), text_col, label_col), rows.where(F.col("fold") == k), text_col) for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

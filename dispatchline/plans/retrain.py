@@ -16,7 +16,7 @@ def most_urgent(rows: DataFrame) -> DataFrame:
     return best.select("_r.*")
 
 
-def retrain(rows: DataFrame, folder: str, folds: int = 3) -> dict:
+def retrain(rows: DataFrame, folder: str, folds: int = 5) -> dict:
     """Fit on rows (row_id, core_hash, body, label), save a version under ``folder`` and return its configuration."""
     train = most_urgent(rows)
     scores = model.out_of_fold(train, folds).select("row_id", "label", F.col("p_urgent").alias("p"))
