@@ -1,19 +1,22 @@
-"""The retrainable classifier: hashed word and character grams, balanced logistic regression, versioned artifacts.
+"""The retrainable classifier: TF-IDF of word and character grams, balanced logistic regression, versioned artifacts.
 
-The vocabulary is hashed, so nothing grows with the corpus; IDF has the +1 of the usual definition and each block is
-scaled to length 1. Out-of-fold scores use five folds by group of near duplicates (``setjoin.near_duplicate_groups`` of the
-core texts' words), so near copies never sit on both sides.
+The vocabulary is that of the grams in two or more training rows, without a bound; it and the coefficients lie on the
+driver. IDF has the +1 of the usual definition (MLlib's has not: the grams are weighted by its IDF plus 1) and each block
+is scaled to length 1. Out-of-fold scores use five folds by group of near duplicates (``setjoin.near_duplicate_groups`` of
+the core texts' words), so near copies never sit on both sides.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ from ..functions.text import LABELS, char_grams, core_text, rank, tokens, word_g
 from ..session import checkpointed
 from . import setjoin
 
-FEATURES = 1 << 12
+MAX_ITER = 2000
+MIN_DF = 2
+ALL_TERMS = (1 << 31) - 1
 
 
 def with_grams(rows: DataFrame, text_col: str = "body") -> DataFrame:
@@ -38,17 +43,25 @@ def weighted(rows: DataFrame, label_col: str = "label") -> DataFrame:
     return rows.join(F.broadcast(n), "y").crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")
 
 
-def pipeline(n_rows: int, features: int = FEATURES, max_iter: int = 20) -> Pipeline:
-    """Two gram blocks, each TF-IDF with min_df 2 and length 1, then multinomial logistic regression."""
-    stages = []
-    for block in ("words", "chars"):
-        stages += [HashingTF(inputCol=f"_{block}", outputCol=f"_{block}_tf", numFeatures=features), IDF(inputCol=f"_{block}_tf", outputCol=f"_{block}_idf", minDocFreq=2), Normalizer(inputCol=f"_{block}_idf", outputCol=f"_{block}_v", p=2.0)]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=["_words_v", "_chars_v"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter), SQLTransformer(statement="SELECT * FROM __THIS__")])
+def block(rows: DataFrame, name: str) -> list:
+    """Fitted stages from the grams of one block to its TF-IDF of length 1; grams of fewer than two rows are left out."""
+    counts = CountVectorizer(inputCol=f"_{name}", outputCol=f"_{name}_tf", minDF=MIN_DF, vocabSize=ALL_TERMS).fit(rows)
+    if not counts.vocabulary:  # no gram is in two rows: one that no text has, as vectors can't be empty
+        counts = CountVectorizerModel.from_vocabulary([""], inputCol=f"_{name}", outputCol=f"_{name}_tf")
+    idf = IDF(inputCol=f"_{name}_tf", outputCol=f"_{name}_idf").fit(counts.transform(rows)).idf
+    weights = ElementwiseProduct(inputCol=f"_{name}_tf", outputCol=f"_{name}_idf", scalingVec=Vectors.dense(idf.toArray() + 1.0))
+    return [counts, weights, Normalizer(inputCol=f"_{name}_idf", outputCol=f"_{name}_v", p=2.0)]
 
 
-def fit(train: DataFrame, text_col: str = "body", label_col: str = "label") -> PipelineModel:
-    rows = with_grams(weighted(train, label_col), text_col)
-    return pipeline(train.count()).fit(rows)
+def fit(train: DataFrame, text_col: str = "body", label_col: str = "label", max_iter: int = MAX_ITER) -> PipelineModel:
+    """Two gram blocks, then multinomial logistic regression with C = 1 (regParam 1 / n); fails if it doesn't converge."""
+    rows = checkpointed(with_grams(weighted(train, label_col), text_col).select("y", "weight", "_words", "_chars"))
+    features = PipelineModel([*block(rows, "words"), *block(rows, "chars"), VectorAssembler(inputCols=["_words_v", "_chars_v"], outputCol="features")])
+    regression = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+    fitted = regression.fit(features.transform(rows).select("y", "weight", "features"))
+    if fitted.summary.totalIterations >= max_iter:
+        raise ValueError(f"no convergence in {max_iter} iterations")
+    return PipelineModel([*features.stages, fitted])
 
 
 def scored(model: PipelineModel, rows: DataFrame, text_col: str = "body") -> DataFrame:
@@ -64,10 +77,13 @@ def dealt(rows: DataFrame, folds: int = 5, text_col: str = "body") -> DataFrame:
     return rows.join(groups, "row_id", "left").withColumn("fold", F.pmod(F.xxhash64(F.coalesce("root", F.lit(-1))), F.lit(folds))).drop("root")
 
 
-def out_of_fold(train: DataFrame, folds: int = 5, text_col: str = "body", label_col: str = "label") -> DataFrame:
-    """Each row scored by a model that saw no row of its group of near duplicates."""
+def out_of_fold(train: DataFrame, folds: int = 5, text_col: str = "body", label_col: str = "label", prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Each row scored by a model that saw no row of its group of near duplicates.
+
+    ``prepare`` makes the rows to fit on from those of the other folds; all rows are scored.
+    """
     rows = checkpointed(dealt(train, folds, text_col))
-    parts = [scored(fit(rows.where(F.col("fold") != k), text_col, label_col), rows.where(F.col("fold") == k), text_col) for k in range(folds)]
+    parts = [scored(fit(prepare(rows.where(F.col("fold") != k)), text_col, label_col), rows.where(F.col("fold") == k), text_col) for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import text
 from .operators import metrics, model, retrieval, rules, setjoin, store, timestamps
-from .plans import classify
+from .plans import classify, retrain
 from .session import checkpointed, read, scratch, spread
 from .sources import files
 from .streaming import ingest
@@ -657,18 +657,18 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cold_model_predictions")
 def cold_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classifier fitted on gold training rows, applied to all rows, raised by rules."""
+    """The classifier fitted on gold training rows, of each core_hash the most urgent, applied to all rows, raised by rules."""
     rows = _training(spark, sf_dir)
-    out = model.scored(model.fit(rows.where("label_source = 'gold_train'")), rows.select("row_id", "body", "label", "label_source"))
+    out = model.scored(model.fit(retrain.most_urgent(rows.where("label_source = 'gold_train'"))), rows.select("row_id", "body", "label", "label_source"))
     final = rules.floor_label(rules.hits(F.col("body"), rules.DESK_RULES), F.col("predicted"), rules.DESK_RULES)
     return out.select("row_id", "label", "predicted", final.alias("final"), rules.score_of_probability(1 - F.col("p_urgent"), final).alias("score"))
 
 
 @query("oof_scores")
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of the gold rows."""
+    """Out-of-fold scores of the gold rows, by models fitted on the most urgent row of each core_hash in the other folds."""
     rows = _training(spark, sf_dir).where(F.col("label_source").isin("gold_train", "gold_test") & F.col("label").isNotNull())
-    return model.out_of_fold(rows).select("row_id", "fold", "label", "predicted", F.round("p_urgent", 6).alias("p_urgent"))
+    return model.out_of_fold(rows, prepare=retrain.most_urgent).select("row_id", "fold", "label", "predicted", F.round("p_urgent", 6).alias("p_urgent"))
 
 
 @query("stream_ingest_once", "SELECT DISTINCT message_id FROM messages")

@@ -1,5 +1,8 @@
 """The classifier: folds, features, fit."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from dispatchline.functions import text
@@ -17,3 +20,21 @@ def test_five_folds_that_split_no_group_of_near_duplicates(spark):
     roots = setjoin.near_duplicate_groups(df, "row_id", text.tokens(text.core_text(F.col("body")))).toPandas()
     assert roots.root.nunique() == 40
     assert (roots.assign(fold=out.loc[roots.id].values).groupby("root").fold.nunique() == 1).all()
+
+
+def test_terms_in_every_text_count_and_single_ones_do_not(spark):
+    rows = spark.createDataFrame([(i, f"same {'leak' if i % 2 else 'bill'} only{i}", "emergency" if i % 2 else "routine") for i in range(6)], "row_id bigint, body string, label string")
+    fitted = model.fit(rows)
+    names = fitted.stages[0].vocabulary
+    assert sorted(names) == ["bill", "leak", "same", "same bill", "same leak"]
+    v = dict(zip(names, model.with_grams(rows.where("row_id = 1")).transform(fitted.stages[0].transform).transform(fitted.stages[1].transform).transform(fitted.stages[2].transform).first()["_words_v"].toArray()))
+    idf = math.log(7 / 4) + 1
+    size = math.sqrt(1 + 2 * idf * idf)
+    assert (v["same"], v["leak"], v["bill"]) == pytest.approx((1 / size, idf / size, 0))
+
+
+def test_fit_converges_or_fails(spark):
+    rows = spark.createDataFrame([(i, f"{'water leak now' if i % 2 else 'please send the invoice'} {i % 5}", "emergency" if i % 2 else "routine") for i in range(40)], "row_id bigint, body string, label string")
+    assert model.fit(rows).stages[-1].summary.totalIterations < model.MAX_ITER
+    with pytest.raises(ValueError, match="convergence"):
+        model.fit(rows, max_iter=1)
