@@ -675,6 +675,6 @@ def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the message files until nothing is left; each message_id comes out once."""
     folder = scratch(spark, "stream")
-    stream = ingest.ingest(ingest.arriving(spark, f"{sf_dir}/messages.parquet", 1_000_000), read(spark, sf_dir, "classifications"))
+    stream = ingest.ingest(ingest.arriving(spark, f"{sf_dir}/messages.parquet", 2), read(spark, sf_dir, "classifications"))
     ingest.run_once(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("message_id")
