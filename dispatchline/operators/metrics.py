@@ -54,23 +54,24 @@ def rank_errors(pairs: DataFrame) -> DataFrame:
     return pairs.where(d.isNotNull()).groupBy(d.alias("off_by")).agg(F.count("*").alias("n"))
 
 
-def alert_grid(scores: DataFrame, p: str = "p") -> DataFrame:
+def alert_grid(scores: DataFrame, p: str = "p", messages: str | None = None) -> DataFrame:
     """threshold and estimated alerts a day over the grid .05, .055 ... .95.
 
+    A row stands for as many messages as its column ``messages`` says, or for one. Rows without a score are left out.
     Scores are counted by the grid step they reach before anything is shuffled; the grid has 181 rows.
     """
     spark = scores.sparkSession
     steps = spark.range(181).select(F.col("id").cast("int").alias("step"), F.round(F.lit(0.05) + F.lit(0.005) * F.col("id"), 3).alias("threshold"))
     reached = F.floor((F.col(p) - 0.05) / 0.005 + 1e-9).cast("int")  # the last step whose threshold the score reaches
-    known = scores.where(F.col(p).isNotNull()).select(F.greatest(F.lit(-1), F.least(F.lit(180), reached)).alias("reached")).groupBy("reached").agg(F.count("*").alias("n"))
+    known = scores.where(F.col(p).isNotNull()).select(F.greatest(F.lit(-1), F.least(F.lit(180), reached)).alias("reached"), (F.lit(1) if messages is None else F.col(messages)).alias("n")).groupBy("reached").agg(F.sum("n").alias("n"))
     total = known.agg(F.sum("n").alias("total"))
     over = steps.join(F.broadcast(known), F.col("reached") >= F.col("step"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("flagged"))
     return over.crossJoin(F.broadcast(total)).select("threshold", "flagged", F.round(F.try_divide(F.col("flagged"), F.col("total")) * PER_DAY, 6).alias("alerts_per_day"))
 
 
-def alert_threshold(scores: DataFrame, p: str = "p", budget: float = BUDGET) -> DataFrame:
+def alert_threshold(scores: DataFrame, p: str = "p", budget: float = BUDGET, messages: str | None = None) -> DataFrame:
     """The smallest threshold within the budget; null where there is none."""
-    return alert_grid(scores, p).where(F.col("alerts_per_day") <= budget).agg(F.min("threshold").alias("threshold"))
+    return alert_grid(scores, p, messages).where(F.col("alerts_per_day") <= budget).agg(F.min("threshold").alias("threshold"))
 
 
 def share_text(k: Column, n: Column) -> Column:

@@ -504,6 +504,27 @@ def alert_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.alert_threshold(_scores(spark, sf_dir))
 
 
+MESSAGES_GRID_SQL = GRID_SQL.replace("FROM classifications WHERE", f"FROM messages m JOIN classifications k ON sha256({_sq('m.body')}) = k.body_hash WHERE")
+
+
+def _message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p of each answer and n, the number of messages that have it. Messages without an answer have no score."""
+    n = _hashed(spark, sf_dir).groupBy("body_hash").agg(F.count("*").alias("n"))
+    return n.join(read(spark, sf_dir, "classifications").select("body_hash", (F.col("score") / 100.0).alias("p")), "body_hash").select("p", "n")
+
+
+@query("flags_per_day_grid_messages", MESSAGES_GRID_SQL + "SELECT * FROM grid")
+def flags_per_day_grid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As flags_per_day_grid, but the share is that of all messages, repeats included, not of distinct answers."""
+    return metrics.alert_grid(_message_scores(spark, sf_dir), messages="n")
+
+
+@query("alert_threshold_messages", MESSAGES_GRID_SQL + "SELECT min(threshold) AS threshold FROM grid WHERE alerts_per_day <= 10")
+def alert_threshold_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As alert_threshold, over all messages."""
+    return metrics.alert_threshold(_message_scores(spark, sf_dir), messages="n")
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 PAIRS_SQL = f"""
@@ -581,11 +602,20 @@ def rank_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recall_at_budget", GRID_SQL.rstrip() + ", " + PAIRS_SQL.strip().removeprefix("WITH ") + "SELECT truth, count(*) FILTER (score / 100.0 >= (SELECT min(threshold) FROM grid WHERE alerts_per_day <= 10) - 5e-12) AS flagged, count(*) AS n FROM y WHERE truth IS NOT NULL GROUP BY truth")
 def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = metrics.alert_threshold(_scores(spark, sf_dir))
+    return _recall_at(spark, sf_dir, metrics.alert_threshold(_scores(spark, sf_dir)))
+
+
+def _recall_at(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
     x = _evaluated(spark, sf_dir).where("truth IS NOT NULL").crossJoin(F.broadcast(t))  # one row
     return x.groupBy("truth").agg(F.count_if(F.col("score") / 100.0 >= F.col("threshold") - 5e-12).alias("flagged"), F.count("*").alias("n"))
 
 
+@query("recall_at_budget_messages", MESSAGES_GRID_SQL.rstrip() + ", " + PAIRS_SQL.strip().removeprefix("WITH ") + "SELECT truth, count(*) FILTER (score / 100.0 >= (SELECT min(threshold) FROM grid WHERE alerts_per_day <= 10) - 5e-12) AS flagged, count(*) AS n FROM y WHERE truth IS NOT NULL GROUP BY truth")
+def recall_at_budget_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recall_at_budget, at the threshold over all messages."""
+    return _recall_at(spark, sf_dir, metrics.alert_threshold(_message_scores(spark, sf_dir), messages="n"))
+
+
 @query("miss_report", PAIRS_SQL + f"SELECT row_id, bool_or({_rank('predicted')} < {_rank('truth')}) AS missed, count(*) FILTER ({_rank('predicted')} < {_rank('truth')}) AS n_low FROM z WHERE predicted IS NOT NULL AND truth IS NOT NULL GROUP BY row_id")
 def miss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the number of systems that rank them too low."""
