@@ -48,13 +48,16 @@ def answer_misses(misses: DataFrame, classifier: Classifier = offline_classifier
     return once.mapInPandas(run, "body_hash string, urgency string, score int, reason string")
 
 
-def classify(messages: DataFrame, answers: DataFrame, classifier: Classifier = offline_classifier) -> DataFrame:
-    """row_id, message_id, urgency, score, reason, rule_hits, from_cache of each message (first of its id)."""
+def classify(messages: DataFrame, answers: DataFrame, classifier: Classifier = offline_classifier, bodiless: bool = False) -> DataFrame:
+    """row_id, message_id, urgency, score, reason, rule_hits, from_cache of each message (first of its id).
+
+    With ``bodiless``, messages without a body come out too, with null urgency, score, reason and from_cache.
+    """
     m = store.keep_first(messages.select("row_id", "message_id", "body", "created_at"), "message_id", "row_id").withColumn("body_hash", body_hash(F.col("body")))
     cached = answers.select("body_hash", plain_label(F.coalesce("llm_urgency", "urgency")).alias("urgency"), F.col("score").cast("int").alias("score"), "reason")
     fresh = answer_misses(m.where("body is not null").join(cached, "body_hash", "left_anti"), classifier)
     known = cached.withColumn("from_cache", F.lit(True)).unionByName(fresh.withColumn("from_cache", F.lit(False)))
     hits = rules.hits(F.col("body"))
-    out = m.join(known, "body_hash").withColumn("hits", hits)
+    out = m.join(known, "body_hash", "left" if bodiless else "inner").withColumn("hits", hits)
     final = rules.floor_label(F.col("hits"), F.col("urgency"))
-    return out.select("row_id", "message_id", final.alias("urgency"), rules.score_if_raised(F.col("score"), F.col("urgency"), final).alias("score"), rules.reason(F.col("reason"), F.col("hits"), F.col("urgency") != final).alias("reason"), F.array_join("hits", ",").alias("rule_hits"), "from_cache")
+    return out.select("row_id", "message_id", final.alias("urgency"), F.when(F.col("body").isNotNull(), rules.score_if_raised(F.col("score"), F.col("urgency"), final)).alias("score"), rules.reason(F.col("reason"), F.col("hits"), F.col("urgency") != final).alias("reason"), F.array_join("hits", ",").alias("rule_hits"), "from_cache")

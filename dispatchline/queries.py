@@ -264,10 +264,17 @@ def inbox_left_unclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inbox(spark, sf_dir, "left").select("row_id", "message_id", "urgency", "score")
 
 
+@query("inbox_all_messages", f"SELECT row_id, message_id, urgency, score FROM messages m LEFT JOIN classifications k ON sha256({_sq('m.body')}) = k.body_hash")
+def inbox_all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As inbox_left_unclassified, but with the messages that have no body."""
+    m = read(spark, sf_dir, "messages").withColumn("body_hash", text.body_hash(F.col("body")))
+    return store.inbox(m, read(spark, sf_dir, "classifications"), "left").select("row_id", "message_id", "urgency", "score")
+
+
 @query("classified_end_to_end")
 def classified_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path over all messages, with the offline classifier for cache misses."""
-    return classify.classify(read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications"))
+    return classify.classify(read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications"), bodiless=True)
 
 
 # --- near duplicates --------------------------------------------------------------------------------------------------
