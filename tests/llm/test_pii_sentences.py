@@ -34,6 +34,11 @@ def find(spark, rows, contacts=CONTACTS):
         ("Neighbour called A. O'Healgar let them in", [("name", "A. O'Healgar")]),
         ("My ID is QQ 12 34 56 D. Trounbray, Art has the keys. Ref qx-1-c. Drake upstairs", [("idnum", "QQ 12 34 56 D"), ("name", "Drake"), ("name", "Trounbray, Art")]),
         ("104 Drake Street is the house", [("address", "104 Drake Street")]),
+        ("the letter is for Mr Anderson and for Art Anderson but it went to Dr. O'Neil Brown", [("name", "Anderson"), ("name", "Art Anderson"), ("name", "O'Neil Brown")]),
+        ("ask for J. Kowalski at the door", [("name", "J. Kowalski")]),
+        ("ring mrs kowalski at 12 long acre lane the bell", [("address", "12 long acre lane"), ("name", "kowalski")]),
+        ("Speak to Kowalski Lettings. Hi Zofia It may rain", [("name", "Zofia")]),
+        ("061 234 5678 else 050 1234567", [("phone", "050 1234567"), ("phone", "061 234 5678")]),
         ("", []), ("?", []),
     ],
 )
@@ -60,6 +65,38 @@ def test_repeats_long_texts_and_an_empty_directory(spark):
     assert pii.find(m.where("row_id > 5"), spark.createDataFrame([], c)).count() == 0
 
 
+def test_long_stretches_are_taken_whole(spark):
+    domain = ".".join(["mail"] * 2000) + ".test"
+    local = "-".join(["art"] * 3000)
+    spelled = "art" + " dot x" * 1500 + " at mail" + " dot sub" * 1500 + " dot test"
+    street = "Flat 3, 14 " + "Sker" * 3000 + " Court, QZ19 1BJ"
+    bodies = [f"to {local}@{domain} now", f"write {spelled}, please", f"come to {street} today"]
+    m, c, got = find(spark, [(b, None) for b in bodies])
+    assert [x[2:] for x in got] == [("email", f"{local}@{domain}"), ("email", spelled), ("address", street)]
+    assert [r[1] for r in sorted(pii.redact(m, c).collect())] == ["to [EMAIL] now", "write [EMAIL], please", "come to [ADDRESS] today"]
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    given, family = {"art", "zofia"}, {"trounbray"}
+    ac = pii.automaton(given, family)
+
+    def seconds(n):
+        text = "Ask for Art Trounbray, 07700900413. " * n
+        began = time.process_time()
+        assert len(pii.spans(text, ac, family)) == 2 * n
+        return time.process_time() - began
+
+    seconds(200)
+    small, large = min(seconds(1000) for _ in range(3)), min(seconds(8000) for _ in range(3))
+    assert large < 16 * small
+    for hard in ("a dot " * 20_000, "oh " * 20_000, "(at) " * 20_000, "x court " * 20_000, "1" * 50_000, "mr " * 20_000):
+        began = time.process_time()
+        pii.spans(hard, ac, family)
+        assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize(
     ("text", "source", "want"),
     [
