@@ -1,13 +1,13 @@
 """Mixed timestamp formats and zones to one instant (expectation-maximisation per source).
 
-Every text is parsed under each format that can read it. A source (feed) is a mixture of formats; each
-value contributes its likelihood under every valid parse, EM fits the mixture weights of the source and
-the posterior chooses the interpretation. What stays open comes out with an explicit status.
+Every text is parsed under each format that can read it. A source (feed) is a mixture of formats - year first, month in
+letters, epoch, day-month and month-day numbers - and of junk. Each value contributes its likelihood under every valid
+parse, by the distance of the instant to the time the row was written; EM fits the mixture weights of the source and the
+posterior chooses the interpretation. What stays open comes out with an explicit status.
 
-Only day-month order makes a text readable in two ways, so a source's mixture has the components ``dmy``,
-``mdy`` and ``junk`` over its numeric dates; all other formats have one reading. A declared
-``date_order`` is a prior that the data can't outvote; a source without one learns its order from the
-values that can be read only one way and from the distance to the time the row was written.
+A declared ``date_order`` is a prior worth ``DECLARED`` observations, which unmistakable values of the other order can
+outvote; a source without one learns its order from its values alone. Values enter the fit as counts by their
+likelihoods, at most some thirty groups a source, so the steps work on sufficient statistics and not on rows.
 
 Edge cases (all tested): null, empty or unreadable text and impossible dates -> ``unreadable``; a wall time
 that occurs twice -> ``ambiguous_fold``, one that never occurs -> ``nonexistent``; both day orders about
@@ -43,11 +43,18 @@ SHAPES = [
     (r"^(\d{10})(\d{6})$", "epoch|$1||||||$2||"),
 ]
 
-#: Likelihood of a parse by its distance to the time the row was written: within 3 days, 60 days, beyond.
-NEAR, FAR, REMOTE = 0.90, 0.09, 0.01
-#: Weight of the declared order as pseudo-observations, against one of junk and none of the other order; likelihood of junk.
-DECLARED, JUNK = 1e12, 1e-4
-EM_STEPS, SURE = 25, 0.99
+#: The formats a source mixes; those of one kind but ``num`` have one reading.
+FORMATS = ("ymd", "txt", "epoch", "dmy", "mdy", "junk")
+#: Likelihood of a parse by its distance to the time the row was written: within 3 days, 60 days, beyond; that of junk.
+NEAR, FAR, REMOTE, JUNK = 0.90, 0.09, 0.01, 1e-12
+#: Prior of the declared order and of the other one, in observations; every other format has one.
+DECLARED, OTHER = 100.0, 0.01
+EM_STEPS, SURE = 40, 0.99
+#: An order with less than this share of a source's numeric dates is no format of the source: a date possible in that
+#: order only is an impossible date.
+MINOR = 0.05
+#: Zone names whose letters are looked up: the tz database has fewer. More are refused.
+MAX_ZONES = 1000
 DAY_US = 86_400_000_000
 
 
@@ -93,9 +100,12 @@ def _offset(zone: Column, at: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at), zone)) - at
 
 
-def parsed(messages: DataFrame, feeds: DataFrame, letters: DataFrame) -> DataFrame:
+PARSED = ("row_id", "feed_id", "written", "zone", "declared", "kind", "wall_dmy", "wall_mdy", "mark_us", "marked")
+
+
+def parsed(messages: DataFrame, feeds: DataFrame, letters: DataFrame, columns: tuple[str, ...] = PARSED) -> DataFrame:
     """row_id, feed_id and the clock readings of each text: wall_dmy and wall_mdy in microseconds (equal for
-    all formats but ``num``), mark_us (offset of a zone mark), zone, status_zone."""
+    all formats but ``num``), mark_us (offset of a zone mark), whether it is marked, zone and declared order."""
     f = feeds.select(F.col("feed_id").alias("_f"), F.col("zone_name").alias("zone"), F.lower("date_order").alias("declared"))
     m = messages.select("row_id", "feed_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("written"), _fields(F.col("received_at")).alias("_s"))
     m = m.join(f, m.feed_id == f._f, "left").withColumn("_p", F.split("_s", r"\|"))
@@ -122,7 +132,8 @@ def parsed(messages: DataFrame, feeds: DataFrame, letters: DataFrame) -> DataFra
     z = letters.select(F.col("zone").alias("_z"), F.col("letters").alias("_l"), F.col("offset_us").alias("_o"))
     m = m.join(F.broadcast(z), (m.zone == z._z) & (m._letters == z._l), "left")  # bounded by the tz database
     mark = F.when(F.col("kind") == "epoch", F.lit(0)).when(F.col("_letters").isin("Z", "UTC", "GMT"), F.lit(0)).when(F.col("_9").rlike(r"^[+-]"), signed).otherwise(F.col("_o"))
-    return fenced(m.select("row_id", "feed_id", "written", "zone", "declared", "kind", "wall_dmy", "wall_mdy", mark.cast("bigint").alias("mark_us"), (F.coalesce(F.col("_9"), F.lit("")) != "").alias("marked")))
+    m = m.withColumns({"mark_us": mark.cast("bigint"), "marked": F.coalesce(F.col("_9"), F.lit("")) != ""})
+    return fenced(m.select(*columns))
 
 
 def _likelihood(wall: Column) -> Column:
@@ -130,52 +141,58 @@ def _likelihood(wall: Column) -> Column:
     return F.when(wall.isNull(), 0.0).when(gap <= 3 * DAY_US, NEAR).when(gap <= 60 * DAY_US, FAR).otherwise(REMOTE)
 
 
-def order_mixture(parts: DataFrame) -> DataFrame:
-    """EM over the numeric dates of each source: feed_id, w_dmy, w_mdy, w_junk.
+def _likelihoods() -> Column:
+    """Likelihood of a parsed text under each of FORMATS."""
+    kind, dmy, mdy = F.col("kind"), _likelihood(F.col("wall_dmy")), _likelihood(F.col("wall_mdy"))
+    own = {"dmy": F.when(kind == "num", dmy), "mdy": F.when(kind == "num", mdy), "junk": F.lit(JUNK)}
+    return F.array(*[F.coalesce(own.get(k, F.when(kind == k, dmy)), F.lit(0.0)) for k in FORMATS])
 
-    The values enter as counts by their two likelihoods, at most sixteen groups a source, so that each
-    step works on sufficient statistics and not on rows. The steps run inside one ``aggregate``.
-    """
-    num = parts.where("kind = 'num'").select("feed_id", "declared", _likelihood(F.col("wall_dmy")).alias("ld"), _likelihood(F.col("wall_mdy")).alias("lm"))
-    stats = num.groupBy("feed_id", "declared", "ld", "lm").agg(F.count("*").cast("double").alias("n"))
-    per = stats.groupBy("feed_id").agg(F.first("declared", True).alias("declared"), F.collect_list(F.struct("ld", "lm", "n")).alias("s"))
-    other = lambda order: F.lit("mdy" if order == "dmy" else "dmy")
-    prior = lambda order: F.when(F.col("declared") == order, F.lit(DECLARED)).when(F.col("declared") == other(order), F.lit(0.0)).otherwise(F.lit(1.0))
-    per = per.withColumns({"pd": prior("dmy"), "pm": prior("mdy")})
+
+def format_mixture(parts: DataFrame, steps: int = EM_STEPS) -> DataFrame:
+    """EM over the texts of each source: feed_id and the weights of FORMATS, all steps inside one ``aggregate``."""
+    stats = parts.select("feed_id", "declared", _likelihoods().alias("l")).groupBy("feed_id", "declared", "l").agg(F.count("*").cast("double").alias("n"))
+    per = stats.groupBy("feed_id").agg(F.first("declared", True).alias("declared"), F.collect_list(F.struct("l", "n")).alias("s"))
+    order = lambda own, other: F.when(F.col("declared") == own, DECLARED).when(F.col("declared") == other, OTHER).otherwise(1.0)
+    prior = F.array(*[order("dmy", "mdy") if k == "dmy" else order("mdy", "dmy") if k == "mdy" else F.lit(1.0) for k in FORMATS])
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    scaled = lambda x: F.transform(x, lambda y: y / total(x))
 
     def step(w: Column, _: Column) -> Column:
-        total = lambda x: x["ld"] * w["d"] + x["lm"] * w["m"] + F.lit(JUNK) * w["j"]
-        part = lambda own, weight: F.aggregate("s", F.lit(0.0), lambda a, x: a + x["n"] * own(x) * weight / total(x))
-        d = F.col("pd") + part(lambda x: x["ld"], w["d"])
-        m = F.col("pm") + part(lambda x: x["lm"], w["m"])
-        j = F.lit(1.0) + part(lambda x: F.lit(JUNK), w["j"])
-        return F.struct((d / (d + m + j)).alias("d"), (m / (d + m + j)).alias("m"), (j / (d + m + j)).alias("j"))
+        def share(x: Column) -> Column:
+            joint = F.zip_with(x["l"], w, lambda a, b: a * b)
+            return F.transform(joint, lambda j: x["n"] * j / total(joint))
+
+        return scaled(F.aggregate("s", F.col("prior"), lambda a, x: F.zip_with(a, share(x), lambda p, q: p + q)))
 
-    start = F.struct((F.col("pd") / (F.col("pd") + F.col("pm") + 1)).alias("d"), (F.col("pm") / (F.col("pd") + F.col("pm") + 1)).alias("m"), (1 / (F.col("pd") + F.col("pm") + 1)).alias("j"))
-    fitted = per.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(EM_STEPS)), start, step))
-    return fitted.select("feed_id", F.col("w.d").alias("w_dmy"), F.col("w.m").alias("w_mdy"), F.col("w.j").alias("w_junk"))
+    fitted = per.withColumn("prior", prior).withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(steps)) if steps else F.array().cast("array<int>"), scaled(F.col("prior")), step))
+    return fitted.select("feed_id", "w")
 
 
-def normalise_timestamps(messages: DataFrame, feeds: DataFrame) -> DataFrame:
-    """row_id, feed_id, kind, utc_us, status ('resolved' or why not), posterior of the chosen reading.
+def normalise_timestamps(messages: DataFrame, feeds: DataFrame, steps: int = EM_STEPS) -> DataFrame:
+    """row_id, feed_id, kind, utc_us, status ('resolved' or why not), posterior of the chosen reading; EM takes ``steps``.
 
     One row per row of ``messages``. ``feeds`` must have unique feed_id; messages of an unknown feed are
     resolved only where the text carries its own offset. See the module for edge cases.
     """
     spark = messages.sparkSession
-    names = [r[0] for r in feeds.select("zone_name").where("zone_name is not null").distinct().limit(1000).collect()]  # names of the tz database
+    names = [r[0] for r in feeds.select("zone_name").where("zone_name is not null").distinct().limit(MAX_ZONES + 1).collect()]
+    if len(names) > MAX_ZONES:
+        raise ValueError(f"feeds name more than {MAX_ZONES} zones, which is more than the tz database has")
     letters = spark.createDataFrame(zone_letters(names), "zone string, letters string, offset_us bigint")
     messages = spread(messages.select("row_id", "feed_id", "received_at", "created_at"))
-    m = parsed(messages, feeds, letters)
-    numeric = messages.where(F.col("received_at").rlike(r"^\s*\d{1,2}[/.\-]\d{1,2}[/.\-]"))
-    w = small_side(order_mixture(parsed(numeric, feeds, letters))).withColumnRenamed("feed_id", "_wf")
-    m = m.join(w, m.feed_id.eqNullSafe(F.col("_wf")), "left")
-    ld, lm = F.col("w_dmy") * _likelihood(F.col("wall_dmy")), F.col("w_mdy") * _likelihood(F.col("wall_mdy"))
-    total = ld + lm + F.col("w_junk") * JUNK
+    w = small_side(format_mixture(parsed(messages, feeds, letters, ("feed_id", "written", "declared", "kind", "wall_dmy", "wall_mdy")), steps))
+    m = parsed(messages, feeds, letters).join(w.select(F.col("feed_id").alias("_wf"), "w"), F.col("feed_id").eqNullSafe(F.col("_wf")), "left")
+    joint = F.zip_with("w", _likelihoods(), lambda a, b: a * b)
+    m = fenced(m.select(*PARSED, "w", joint.alias("_joint"))).withColumn("_sum", F.aggregate("_joint", F.lit(0.0), lambda a, x: a + x))
+    at = lambda k: F.col("_joint")[FORMATS.index(k)] / F.col("_sum")
     same = F.col("wall_dmy").eqNullSafe(F.col("wall_mdy"))
-    m = m.withColumns({"p_dmy": ld / total, "p_mdy": lm / total})
-    posterior = F.when((F.col("kind") != "num") | same, F.lit(1.0)).otherwise(F.greatest("p_dmy", "p_mdy"))
-    wall = F.when((F.col("kind") != "num") | same, F.col("wall_dmy")).when(F.col("p_dmy") >= F.col("p_mdy"), F.col("wall_dmy")).otherwise(F.col("wall_mdy"))
+    numeric = F.col("kind").eqNullSafe("num")
+    m = m.withColumns({"p_dmy": F.when(numeric & same, at("dmy") + at("mdy")).otherwise(at("dmy")), "p_mdy": at("mdy"), "p_junk": at("junk")})
+    dmy, mdy = (F.col("w")[FORMATS.index(k)] for k in ("dmy", "mdy"))
+    slip = numeric & (F.col("wall_dmy").isNull() & (mdy < MINOR * (dmy + mdy)) | F.col("wall_mdy").isNull() & (dmy < MINOR * (dmy + mdy)))
+    two = numeric & ~same
+    posterior = F.when(two, F.greatest("p_dmy", "p_mdy")).otherwise(1 - F.col("p_junk"))
+    wall = F.when(slip, F.lit(None)).when(two & ~(F.col("p_dmy") >= F.col("p_mdy")), F.col("wall_mdy")).otherwise(F.col("wall_dmy"))
     m = m.withColumns({"posterior": posterior, "wall": wall})
     # a zone changes its offset at most once within two days: the offsets before and after are all candidates
     zone = F.when(F.col("mark_us").isNull() & ~F.col("marked") & F.col("wall").isNotNull(), F.col("zone"))
@@ -188,8 +205,8 @@ def normalise_timestamps(messages: DataFrame, feeds: DataFrame) -> DataFrame:
     m = m.withColumns({"_ok1": ok1, "_ok2": ok2})
     readable = F.col("wall").isNotNull()
     status = (
-        F.when(~readable, F.when(F.col("kind").eqNullSafe("num") & F.col("wall_dmy").isNotNull() & F.col("wall_mdy").isNotNull(), "ambiguous_order").otherwise("unreadable"))
-        .when(F.col("posterior") < SURE, F.when((F.col("p_dmy") + F.col("p_mdy")) < 0.5, "unreadable").otherwise("ambiguous_order"))
+        F.when(~readable | (F.col("p_junk") > 0.5), "unreadable")
+        .when(F.col("posterior") < SURE, "ambiguous_order")
         .when(F.col("mark_us").isNotNull(), "resolved")
         .when(F.col("marked") | F.col("zone").isNull(), "unknown_zone")
         .when(F.col("_ok1") & F.col("_ok2") & both, "ambiguous_fold")

@@ -84,6 +84,27 @@ def test_order_is_learned_where_none_is_declared(spark):
     assert all(got[i].status == "resolved" and got[i].utc_us == micros(datetime(2025, m, d, 10, tzinfo=ZoneInfo("Europe/Dublin")).astimezone(UTC)) for i, (m, d) in enumerate((m, d) for m in (2, 3, 4, 6) for d in (5, 14, 20, 27)))
 
 
+def test_the_fit_decides_and_can_outvote_a_declared_order(spark):
+    at = datetime(2025, 7, 1)
+    rows = [(f"{m}/{d}/2025 10:00:00", 1, datetime(2025, m, d, 11)) for m in range(1, 13) for d in range(13, 29)]
+    rows += [("2/11/2025 10:00:00", 1, datetime(2025, 2, 11, 11)), ("5/6/2025 10:00:00", 1, datetime(2025, 7, 1)), ("2025-05-06 10:00:00", 1, datetime(2025, 7, 1)), ("2/11/2025 10:00:00", 2, datetime(2025, 2, 11, 11))]
+    m = spark.createDataFrame([(i, t, f, w) for i, (t, f, w) in enumerate(rows)], "row_id bigint, received_at string, feed_id int, created_at timestamp")
+    f = spark.createDataFrame([(1, "a", "Europe/London", "dmy"), (2, "b", "Europe/London", "dmy")], "feed_id int, feed_name string, zone_name string, date_order string")
+    fitted, unfitted = ({r.row_id: r for r in normalise_timestamps(m, f, steps=n).collect()} for n in (40, 0))
+    n = len(rows)
+    month_first, day_first = micros(datetime(2025, 2, 11, 10, tzinfo=UTC)), micros(datetime(2025, 11, 2, 10, tzinfo=UTC))
+    assert (fitted[n - 4].utc_us, unfitted[n - 4].utc_us) == (month_first, day_first)
+    assert (fitted[n - 3].status, unfitted[n - 3].utc_us) == ("ambiguous_order", micros(datetime(2025, 6, 5, 9, tzinfo=UTC)))
+    assert fitted[0].utc_us == micros(datetime(2025, 1, 13, 10, tzinfo=UTC)) and unfitted[0].status == "unreadable"
+    assert fitted[n - 2].utc_us == unfitted[n - 2].utc_us == micros(datetime(2025, 5, 6, 9, tzinfo=UTC))
+    assert unfitted[n - 1].utc_us == day_first and fitted[n - 1].utc_us != month_first
+
+
+def test_too_many_zones_are_refused(spark):
+    with pytest.raises(ValueError, match="zones"):
+        run(spark, [("2025-06-01 10:00", 1, datetime(2025, 6, 1))], [(i, "x", f"Zone/{i}", "dmy") for i in range(1001)])
+
+
 def test_order_stays_open_without_evidence(spark):
     assert run(spark, [("5/6/2025 10:00:00", 8, datetime(2026, 1, 1))])[0].status == "ambiguous_order"
 
