@@ -128,6 +128,20 @@ def test_sentences(spark, text, source, want):
         assert all(text[r.start_char - 1 :].startswith(r.sentence) for r in got)
 
 
+def test_quotations_lines_and_blanks_of_any_length(spark):
+    said = "“" + "It leaks. Who knows? " * 500 + "Come.” he said."
+    greek = "Στάζει " + "και " * 300 + "τώρα; Ναι."
+    letter = "Dear Art,\n" + " " * 100 + "\nThe tap\nis wet.\n" + " \n" * 200 + "Bye"
+    for text, source, n in ((f"Stop. {said} No.", None, 3), (f"«{said[1:-10]}» Да.", None, 2), (greek, None, 2), (letter, "email_archive", 3)):
+        d = spark.createDataFrame([(1, text, source)], "doc_id bigint, text string, source string")
+        assert sentences.sentences(d).count() == n, text[:20]
+
+
+def test_nothing_is_shuffled(spark):
+    d = spark.range(0, 100, 1, 8).select(F.col("id").alias("doc_id"), F.lit("One. Two.").alias("text"), F.lit(None).cast("string").alias("source"))
+    assert "Exchange" not in sentences.sentences(d)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_and_repeated_documents(spark):
     text = "The tap drips. Who knows? " * 4000
     d = spark.createDataFrame([(1, text, None)] * 2, "doc_id bigint, text string, source string")
