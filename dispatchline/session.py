@@ -42,12 +42,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for work that costs far more than its input is large.
 
-    A frame that already has a partition for each core comes back as it is, so that large inputs aren't shuffled.
+    A frame that already has a partition for each core comes back as it is, so that large inputs aren't shuffled. For
+    scans only: counting the partitions of a frame runs the shuffles before it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+#: A key is hot with at least so many rows and this share of all; there are at most 1 / HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 200_000, 0.001
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of rows with a table that has one row a key, however unevenly the rows hold the keys (never null).
+
+    The table's rows of hot keys, of which there are at most 1 / HOT_SHARE, are broadcast, and only the rows of
+    other keys are shuffled. Both sides should be checkpointed, as they are read more than once.
+    """
+    total = rows.count()
+    if total < HOT_ROWS:
+        return rows.join(table, key, "left")
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(checkpointed(n.where(F.col("_n") >= max(HOT_ROWS, int(HOT_SHARE * total))).select(key)))
+    cold = rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key, "left")
+    return cold.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share: under ``spark.checkpoint.dir``, or a local one in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

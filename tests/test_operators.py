@@ -120,6 +120,18 @@ def test_components_of_a_long_chain(spark):
     assert roots == {0, 100}
 
 
+def test_hot_keys_join_alike(spark, monkeypatch):
+    from dispatchline import session
+
+    rows = session.checkpointed(spark.range(4000).selectExpr("id", "if(id % 3 = 0, -1, id % 500) AS k"))
+    table = session.checkpointed(spark.range(-1, 400).selectExpr("id AS k", "id * 2 AS v"))
+    want = sorted(r[:] for r in session.join_hot(rows, table, "k").select("id", "k", "v").collect())
+    monkeypatch.setattr(session, "HOT_ROWS", 100)
+    assert sorted(r[:] for r in session.join_hot(rows, table, "k").select("id", "k", "v").collect()) == want
+    nodes, edges = spark.range(600).selectExpr("id AS node"), spark.range(1, 500).selectExpr("0L AS a", "id AS b")
+    assert {(r.root, r["count"]) for r in setjoin.components(nodes, edges).groupBy("root").count().collect()} == {(0, 500)} | {(i, 1) for i in range(500, 600)}
+
+
 def test_vote_ties_and_abstention(spark):
     n = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.45), (1, 2, 0.45), (2, 1, 0.2)], "query_id int, label int, sim double")
     assert {r.query_id: (r.label, r.confidence) for r in retrieval.vote(n, 0.6).collect()} == {1: (2, 0.5), 2: (None, None)}
