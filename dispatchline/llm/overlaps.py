@@ -1,16 +1,16 @@
-"""Problem 4: the same or nearly the same records across splits, by bit fingerprints and code blocks.
+"""Problem 4: the same or nearly the same records across splits, with a count for each split and source.
 
 The similarity hash of a text is the set of bits its words switch on, words being longest runs of letters and
-digits in lower case. Two texts share at least 0.8 of the union of their words only if the Hamming distance of
-their codes is at most (a + b) / 9, a and b being their numbers of words. Codes are permuted so that bits of
-rare words come first, and segmented: two codes within the radius share at least two bits among the leading
-ones, so codes are joined across splits on blocks of two leading bits (one for long texts). Unlike a folded
-64-bit block scheme this is exact: no pair within the radius is missed. The code folded to 64 bits by parity can
-only lower the distance; it prunes candidates right in the join. What is left is verified on the full word
-sets.
+digits in lower case. Texts of both sides are joined by ``setjoin.similar_sets``: codes are permuted so that bits of rare
+words come first, joined on blocks of one or two leading bits, filtered by two 64-bit fingerprints within their Hamming
+radius, and verified on whole word sets; no pair within the radius is missed.
 
-The permutation uses the ``FREQUENT`` most frequent words of all texts; words beyond them count as rare in hash
-order. That bound changes the cost only, never the result.
+The dealt scheme, blocks of a code of fixed length joined across splits, can't give every pair here: two texts that share
+0.8 of their union may differ in a quarter of their words, so a text of 50 words needs 13 segments for one to be alike,
+of four words each, and most of these are frequent ones. See the README for the figures.
+
+The report counts on classes - texts of equal word sets, message_ids of equal groups - and never expands a pair of
+classes to pairs of rows.
 
 Edge cases: null texts and texts without words have no links by text; rows without a split take no part;
 split names are compared in lower case without blanks; texts with the same words are handled once and expanded
@@ -20,96 +20,18 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import setjoin
 from ..session import checkpointed
 
 SIMILAR = 0.8
-FREQUENT = 50_000
-#: Up to so many words a code is segmented in blocks of two bits, beyond it in blocks of one.
-PAIR_BLOCKS = 128
 
 
 def words(text: Column) -> Column:
-    """Distinct words of a text as 64-bit hashes."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(w)))
-
-
-def _blocks(frequent: np.ndarray, rank: np.ndarray, similar: float):
-    """Per text: its 64-bit fingerprint and the codes of its leading blocks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sizes = pdf["words"].map(len).to_numpy()
-            flat = np.concatenate(pdf["words"].to_numpy()).astype(np.int64)
-            doc = np.repeat(np.arange(len(pdf)), sizes)
-            bit = np.uint64(1) << (flat.view(np.uint64) & np.uint64(63))
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            folded = np.bitwise_xor.reduceat(bit, starts).view(np.int64)
-            at = np.minimum(np.searchsorted(frequent, flat), max(len(frequent) - 1, 0))
-            common = np.where(frequent[at] == flat, rank[at], 0) if len(frequent) else np.zeros(len(flat), np.int64)
-            flat = flat[np.lexsort((flat, common, doc))].view(np.uint64)
-            mixed = flat * np.uint64(0x9E3779B97F4A7C15)
-            keys = []
-            for s, n in zip(starts, sizes):
-                need = int(np.ceil(similar * n - 1e-9))
-                own = []
-                if 2 <= n <= PAIR_BLOCKS:
-                    lead = flat[s : s + min(n, n - need + 2)]
-                    i, j = np.triu_indices(len(lead), 1)
-                    low, high = np.minimum(lead[i], lead[j]), np.maximum(lead[i], lead[j])
-                    own.append((low * np.uint64(0xC2B2AE3D27D4EB4F) ^ (high * np.uint64(0x165667B19E3779F9) + (low >> np.uint64(29)))).view(np.int64))
-                if n > PAIR_BLOCKS * similar:
-                    own.append(mixed[s : s + n - need + 1].view(np.int64))
-                keys.append(np.concatenate(own) if own else np.empty(0, np.int64))
-            yield pd.DataFrame({"rep": pdf["rep"], "n": sizes.astype(np.int32), "folded": folded, "keys": keys})
-
-    return run
-
-
-def similar_texts(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(id_eval, id_train) of rows (id, side, text) with side 'eval' or 'train' whose word sets share at least
-    ``similar`` of their union, in groups of equal word sets: (rep_eval, rep_train) plus membership."""
-    spark = rows.sparkSession
-    w = rows.select("id", "side", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("words", F.array_sort("words"))
-    w = w.withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64("words", F.lit(1))})
-    w = checkpointed(w)
-    member = w.select("id", "side", "s1", "s2")
-    sets = w.groupBy("side", "s1", "s2").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
-    sets = checkpointed(sets)
-    member = checkpointed(member.join(sets.select("side", "s1", "s2", "rep"), ["side", "s1", "s2"]).select("id", "side", "rep"))
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(FREQUENT).collect()
-    frequent = np.array([r[0] for r in counts], np.int64)
-    by = np.argsort(frequent, kind="stable")
-    rank = np.array([r[1] for r in counts], np.int64)[by]
-    blocks = _blocks(frequent[by], rank, similar)
-
-    def coded(side: str, n: str, folded: str) -> DataFrame:
-        own = sets.where(F.col("side") == side).select("rep", "words").mapInPandas(blocks, "rep bigint, n int, folded bigint, keys array<bigint>")
-        return own.select(F.explode("keys").alias("key"), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(n), F.col("folded").alias(folded))
-
-    e, t = coded("eval", "ne", "fe"), coded("train", "nt", "ft")
-    within = F.bit_count(F.col("fe").bitwiseXOR(F.col("ft"))) <= F.floor((F.col("ne") + F.col("nt")) * ((1 - similar) / (1 + similar)) + 1e-9)
-    sized = (F.least("ne", "nt") >= F.greatest("ne", "nt") * similar - 1e-9)
-    near = e.join(t, "key").where(sized & within).select("rep_eval", "rep_train").distinct()
-    we = sets.where("side = 'eval'").select(F.col("rep").alias("rep_eval"), F.col("words").alias("we"))
-    wt = sets.where("side = 'train'").select(F.col("rep").alias("rep_train"), F.col("words").alias("wt"))
-    both = F.size(F.array_intersect("we", "wt"))
-    pairs = near.join(we, "rep_eval").join(wt, "rep_train").withColumn("both", both)
-    pairs = pairs.withColumn("similarity", F.col("both") / (F.size("we") + F.size("wt") - F.col("both")))
-    same = sets.where("side = 'eval'").select("s1", "s2", F.col("rep").alias("rep_eval")).join(sets.where("side = 'train'").select("s1", "s2", F.col("rep").alias("rep_train")), ["s1", "s2"]).select("rep_eval", "rep_train")
-    pairs = pairs.where(F.col("similarity") >= similar - 1e-12).select("rep_eval", "rep_train").unionByName(same).distinct()
-    me = member.where("side = 'eval'").select(F.col("rep").alias("rep_eval"), F.col("id").alias("id_eval"))
-    mt = member.where("side = 'train'").select(F.col("rep").alias("rep_train"), F.col("id").alias("id_train"))
-    return pairs.join(me, "rep_eval").join(mt, "rep_train").select("id_eval", "id_train")
+    """The words of a text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def sides(combined: DataFrame) -> DataFrame:
@@ -120,21 +42,49 @@ def sides(combined: DataFrame) -> DataFrame:
     return out.where(F.col("split_name").isin("train", "valid", "test")).withColumn("side", F.when(F.col("split_name") == "train", "train").otherwise("eval"))
 
 
+def text_classes(rows: DataFrame, messages: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(id, side, rep) of the rows that have words, and the pairs (rep_eval, rep_train) of similar texts."""
+    text = messages.select(F.col("row_id").alias("id"), F.col("body").alias("text"))
+    sets, member = setjoin.distinct_sets(rows.select("id", "side").join(text, "id"), "id", words(F.col("text")), "side")
+    pairs = setjoin.similar_sets(sets, similar, strict=False, side=("side", "eval", "train"))
+    return member, pairs.select(F.col("a").alias("rep_eval"), F.col("b").alias("rep_train"))
+
+
+def group_sets(rows: DataFrame, corpus: DataFrame) -> DataFrame:
+    """id, groups: the dup_groups of each row's message_id in the corpus, sorted; rows without any are left out."""
+    groups = corpus.where("dup_group is not null and message_id is not null").groupBy("message_id").agg(F.array_sort(F.collect_set("dup_group")).alias("groups"))
+    return rows.select("id", "message_id").join(groups, "message_id").select("id", "groups")
+
+
 def cross_split_overlaps(combined: DataFrame, messages: DataFrame, corpus: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """id_eval, id_train of rows of combined, by similar text or by a common dup_group; each pair once."""
     rows = sides(combined)
-    text = messages.select(F.col("row_id").alias("id"), F.col("body").alias("text"))
-    by_text = similar_texts(rows.join(text, "id").select("id", "side", "text"), similar)
-    groups = corpus.where("dup_group is not null and message_id is not null").select("message_id", "dup_group").distinct()
-    tied = rows.join(groups, "message_id").select("id", "side", "dup_group")
-    te = tied.where("side = 'eval'").select("dup_group", F.col("id").alias("id_eval"))
-    tt = tied.where("side = 'train'").select("dup_group", F.col("id").alias("id_train"))
-    return by_text.unionByName(te.join(tt, "dup_group").select("id_eval", "id_train")).distinct()
-
-
-def overlap_report(combined: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per split and source of the evaluation rows: rows, rows with an overlap, pairs."""
-    rows = sides(combined).where("side = 'eval'").select("id", "split_name", "source")
-    hit = pairs.groupBy(F.col("id_eval").alias("id")).agg(F.count("*").alias("n_train"))
-    out = rows.join(hit, "id", "left").groupBy("split_name", "source")
-    return out.agg(F.count("*").alias("n_rows"), F.count("n_train").alias("n_leaked"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_pairs"))
+    member, pairs = text_classes(rows, messages, similar)
+    own = lambda side: member.where(F.col("side") == side).select(F.col("rep").alias(f"rep_{side}"), F.col("id").alias(f"id_{side}"))
+    by_text = pairs.join(own("eval"), "rep_eval").join(own("train"), "rep_train").select("id_eval", "id_train")
+    tied = checkpointed(rows.select("id", "side").join(group_sets(rows, corpus), "id").select("id", "side", F.explode("groups").alias("dup_group")))
+    of = lambda side: tied.where(F.col("side") == side).select("dup_group", F.col("id").alias(f"id_{side}"))
+    return by_text.unionByName(of("eval").join(of("train"), "dup_group").select("id_eval", "id_train")).distinct()
+
+
+def overlap_report(combined: DataFrame, messages: DataFrame, corpus: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Per split and source of the evaluation rows: rows, rows with an overlap, pairs.
+
+    Rows of one text class and one set of groups count together. A row's pairs are those by text plus those by group less
+    those by both, each a sum of class counts.
+    """
+    rows = checkpointed(sides(combined))
+    member, pairs = text_classes(rows, messages, similar)
+    pairs = checkpointed(pairs)
+    named = rows.join(member.select("id", "rep"), "id", "left").join(group_sets(rows, corpus), "id", "left")
+    classes = checkpointed(named.groupBy("side", "rep", "groups", F.when(F.col("side") == "eval", F.col("split_name")).alias("split_name"), F.when(F.col("side") == "eval", F.col("source")).alias("source")).agg(F.count("*").alias("n")))
+    own, train = classes.where("side = 'eval'").drop("side"), classes.where("side = 'train'").select(F.col("rep").alias("rep_train"), F.col("groups").alias("groups_train"), F.col("n").alias("m"))
+    by_text = pairs.join(train.groupBy("rep_train").agg(F.sum("m").alias("m")), "rep_train").groupBy(F.col("rep_eval").alias("rep")).agg(F.sum("m").alias("by_text"))
+    each = lambda x, groups, name: x.select(groups).where(f"{groups} is not null").distinct().select(groups, F.explode(groups).alias(name))
+    tied = checkpointed(each(own, "groups", "g").join(each(train, "groups_train", "g"), "g").select("groups", "groups_train").distinct())
+    by_group = tied.join(train.groupBy("groups_train").agg(F.sum("m").alias("m")), "groups_train").groupBy("groups").agg(F.sum("m").alias("by_group"))
+    both = own.where("rep is not null and groups is not null").select("rep", "groups").distinct()
+    both = both.join(pairs, both.rep == pairs.rep_eval).join(train, "rep_train").join(tied, ["groups", "groups_train"]).groupBy("rep", "groups").agg(F.sum("m").alias("by_both"))
+    out = own.join(by_text, "rep", "left").join(by_group, "groups", "left").join(both, ["rep", "groups"], "left")
+    k = F.coalesce("by_text", F.lit(0)) + F.coalesce("by_group", F.lit(0)) - F.coalesce("by_both", F.lit(0))
+    return out.groupBy("split_name", "source").agg(F.sum("n").alias("n_rows"), F.sum(F.when(k > 0, F.col("n")).otherwise(0)).alias("n_leaked"), F.sum(F.col("n") * k).alias("n_pairs"))

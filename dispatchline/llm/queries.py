@@ -59,10 +59,6 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_report(splits.assign_splits(read(spark, sf_dir, "corpus"), targets), targets)
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps.cross_split_overlaps(*(read(spark, sf_dir, t) for t in ("combined", "messages", "corpus")))
-
-
 OVERLAP_SQL = r"""
 WITH r AS (
   SELECT c.row_id AS id, c.message_id, lower(trim(c.split_name)) AS split_name,
@@ -83,7 +79,7 @@ p AS (
 @query("p4_found", OVERLAP_SQL + "SELECT least(ie, it) AS row_id_a, greatest(ie, it) AS row_id_b FROM p")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id_a, row_id_b: a train row and a row of valid or test that overlap, the smaller id first."""
-    p = _overlaps(spark, sf_dir)
+    p = overlaps.cross_split_overlaps(*(read(spark, sf_dir, t) for t in ("combined", "messages", "corpus")))
     return p.select(F.least("id_eval", "id_train").alias("row_id_a"), F.greatest("id_eval", "id_train").alias("row_id_b"))
 
 
@@ -96,7 +92,7 @@ FROM e LEFT JOIN h USING (id) GROUP BY ALL""",
 )
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps counted per split and source."""
-    return overlaps.overlap_report(read(spark, sf_dir, "combined"), _overlaps(spark, sf_dir))
+    return overlaps.overlap_report(*(read(spark, sf_dir, t) for t in ("combined", "messages", "corpus")))
 
 
 CANON_SQL = r"""

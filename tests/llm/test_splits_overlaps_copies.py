@@ -92,8 +92,11 @@ def test_overlaps_against_brute_force(spark):
     got = [(r.id_eval, r.id_train) for r in overlaps.cross_split_overlaps(b, m, c).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
-    report = overlaps.overlap_report(b, overlaps.cross_split_overlaps(b, m, c))
-    assert report.agg(F.sum("n_pairs")).first()[0] == len(want)
+    report = overlaps.overlap_report(b, m, c).collect()
+    for s in ("valid", "test"):
+        r = next(x for x in report if x.split_name == s)
+        own = [e for e, _ in want if side[e] == s]
+        assert (r.n_rows, r.n_leaked, r.n_pairs) == (sum(x == s for x in side.values()), len(set(own)), len(own))
     assert overlaps.cross_split_overlaps(b.where("row_id < 0"), m, c).count() == 0
 
 
