@@ -15,13 +15,7 @@ RULES = [
     ("fire_electric", "emergency", r"sparks|burning smell|smell of burning"),
     ("vulnerable_occupant", "same_day", r"\b(baby|newborn|toddler|elderly|disabled|oxygen|pregnant|wheelchair|\d{2}\s?(year|yr)s?[ -]old)\b|\b(mum|mother|dad|father|gran|nan|grandma|grandad)\b.{0,30}\b(8\d|9\d|10\d)\b"),
 ]
-#: Rules of this desk's own wording, after the others; what the queries run with.
-DESK_RULES = [
-    *RULES,
-    ("bursting", "emergency", r"\bburst(ing)?\b|\bflooding\b"),
-    ("water_damage", "same_day", r"\bsoaked\b|\bgot ruined\b"),
-    ("lock_out", "same_day", r"keeps locking with|unit went to \w\d\d overnight"),
-]
+# No heat or hot water; the name and label of a vulnerable occupant without it; the least score of a label.
 NO_SERVICE = r"no heating|no hot water|heating (is )?(off|not working)|boiler.{0,20}locked? out|house is freezing|no heat\b"
 COMPOUND = ("vulnerable_no_service", "emergency")
 SCORE_FLOOR = {"same_day": 40, "emergency": 80}

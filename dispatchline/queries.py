@@ -63,6 +63,11 @@ def _cold(x: str) -> str:
     return _sq(f"regexp_replace({greeting}, '{sign_off}', '', 'i')")
 
 
+def _spaced(x: str) -> str:
+    """The words of a text in lower case, parted by any white space."""
+    return rf"list_filter(regexp_split_to_array(lower({x}), '[\t-\r\pZ\x85]+'), lambda w: w <> '')"
+
+
 def _label(x: str) -> str:
     y = rf"regexp_replace(lower(trim({x})), '[\s\-]+', '_', 'g')"
     return f"(CASE WHEN {y} IN ('routine', 'same_day', 'emergency') THEN {y} END)"
@@ -77,8 +82,8 @@ def _hit(pattern: str) -> str:
 
 
 _VULNERABLE = next(p for n, _, p in rules.RULES if n == "vulnerable_occupant")
-_HITS = "list_filter([" + ", ".join([f"CASE WHEN {_hit(p)} THEN '{n}' END" for n, _, p in rules.DESK_RULES] + [f"CASE WHEN {_hit(_VULNERABLE)} AND {_hit(rules.NO_SERVICE)} THEN '{rules.COMPOUND[0]}' END"]) + "], lambda x: x IS NOT NULL)"
-_LEVELS = [(n, x) for n, x, _ in rules.DESK_RULES] + [rules.COMPOUND]
+_HITS = "list_filter([" + ", ".join([f"CASE WHEN {_hit(p)} THEN '{n}' END" for n, _, p in rules.RULES] + [f"CASE WHEN {_hit(_VULNERABLE)} AND {_hit(rules.NO_SERVICE)} THEN '{rules.COMPOUND[0]}' END"]) + "], lambda x: x IS NOT NULL)"
+_LEVELS = [(n, x) for n, x, _ in rules.RULES] + [rules.COMPOUND]
 _FLOOR = f"(CASE WHEN {_rank('label')} >= 0 THEN {LABEL_LIST}[greatest({_rank('label')}, " + ", ".join(f"CASE WHEN list_contains(hits, '{n}') THEN {text.LABELS.index(x)} ELSE 0 END" for n, x in _LEVELS) + ") + 1] END)"
 ANSWERED_SQL = f"""
 WITH a AS (
@@ -127,7 +132,7 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAR_SQL = f"""
-WITH w AS (SELECT id, dup_group, ' ' || unnest(list_filter(string_split({_sq('body')}, ' '), lambda w: w <> '')) || ' ' AS w FROM corpus),
+WITH w AS (SELECT id, dup_group, ' ' || unnest({_spaced('body')}) || ' ' AS w FROM corpus),
 n AS (SELECT id, dup_group, w, unnest([3, 4, 5]) AS n FROM w),
 g AS (SELECT id, dup_group, substr(w, CAST(unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS INT), n) AS gram FROM n WHERE length(w) >= n OR n = 3),
 """
@@ -135,18 +140,18 @@ g AS (SELECT id, dup_group, substr(w, CAST(unnest(range(1, greatest(length(w) -
 
 @query("char_wb_ngrams", CHAR_SQL.rstrip().rstrip(",") + " SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def char_wb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "corpus").select(F.explode(text.char_grams(text.squeezed(F.col("body")))).alias("gram"))
+    g = read(spark, sf_dir, "corpus").select(F.explode(text.char_grams(F.col("body"))).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(
     "word_bigrams",
-    f"""WITH w AS (SELECT regexp_extract_all({_sq('body')}, '[a-z0-9]{{2,}}') AS w FROM corpus),
+    r"""WITH w AS (SELECT regexp_extract_all(lower(body), '[\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]{2,}') AS w FROM corpus),
 g AS (SELECT unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w)
 SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) >= 2""",
 )
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "corpus").select(F.explode(text.word_grams(text.squeezed(F.col("body")))).alias("gram"))
+    g = read(spark, sf_dir, "corpus").select(F.explode(text.word_grams(F.col("body"))).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 2")
 
 
@@ -155,19 +160,19 @@ def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rule_hits", f"SELECT row_id, array_to_string({_HITS}, ',') AS hits FROM messages")
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "messages").select("row_id", F.array_join(rules.hits(F.col("body"), rules.DESK_RULES), ",").alias("hits"))
+    return read(spark, sf_dir, "messages").select("row_id", F.array_join(rules.hits(F.col("body")), ",").alias("hits"))
 
 
 @query("rule_hit_counts", f"SELECT rule, count(*) AS n FROM (SELECT unnest({_HITS}) AS rule FROM messages) GROUP BY rule")
 def rule_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "messages").select(F.explode(rules.hits(F.col("body"), rules.DESK_RULES)).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "messages").select(F.explode(rules.hits(F.col("body"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, k = read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications")
-    m = spread(m.select("row_id", "message_id", "body", "created_at")).select("row_id", "message_id", "body", "created_at", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
+    m = spread(m.select("row_id", "message_id", "body", "created_at")).select("row_id", "message_id", "body", "created_at", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body")).alias("hits"))
     k = k.select("body_hash", text.plain_label(F.col("llm_urgency")).alias("label"), text.plain_label(F.col("urgency")).alias("urgency"), "score", "reason")
-    return m.join(k, "body_hash").withColumn("floored", rules.floor_label(F.col("hits"), F.col("label"), rules.DESK_RULES))
+    return m.join(k, "body_hash").withColumn("floored", rules.floor_label(F.col("hits"), F.col("label")))
 
 
 @query("safety_floor", ANSWERED_SQL + "SELECT row_id, label, floored FROM f")
@@ -385,7 +390,7 @@ GUARD = "(q.dup_group IS NULL OR v.dup_group IS NULL OR q.dup_group <> v.dup_gro
 
 def _vectors(spark: SparkSession, sf_dir: str, guarded: bool) -> DataFrame:
     group = F.col("dup_group") if guarded else F.lit(None).cast("bigint")
-    c = spread(read(spark, sf_dir, "corpus").select("id", "dup_group", "body")).select("id", group.alias("grp"), text.char_grams(text.squeezed(F.col("body"))).alias("grams"))
+    c = spread(read(spark, sf_dir, "corpus").select("id", "dup_group", "body")).select("id", group.alias("grp"), text.char_grams(F.col("body")).alias("grams"))
     return checkpointed(retrieval.vectors(c, F.col("grams")))
 
 
@@ -396,7 +401,7 @@ def _top(spark: SparkSession, sf_dir: str, guarded: bool, k: int = 3) -> DataFra
 
 @query("tfidf_idf", IDF_SQL.rstrip().rstrip(",") + " SELECT gram, df, round(idf, 9) AS idf FROM i")
 def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spread(read(spark, sf_dir, "corpus").select("id", "body")).select("id", F.explode(text.char_grams(text.squeezed(F.col("body")))).alias("gram"))
+    g = spread(read(spark, sf_dir, "corpus").select("id", "body")).select("id", F.explode(text.char_grams(F.col("body"))).alias("gram"))
     return retrieval.idf(g).select("gram", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -458,7 +463,7 @@ def knn_vote_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POOL_SQL = f"""
 WITH r AS (SELECT b.row_id AS id, b.label_source, {_label('b.label')} AS label, m.body FROM combined b JOIN messages m USING (row_id)),
-w AS (SELECT id, ' ' || unnest(list_filter(string_split({_sq('body')}, ' '), lambda w: w <> '')) || ' ' AS w FROM r),
+w AS (SELECT id, ' ' || unnest({_spaced('body')}) || ' ' AS w FROM r),
 n AS (SELECT id, w, unnest([3, 4, 5]) AS n FROM w),
 g AS (SELECT id, substr(w, CAST(unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS INT), n) AS gram FROM n WHERE length(w) >= n OR n = 3),
 n_docs AS (SELECT count(DISTINCT id) AS n FROM g), d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY gram),
@@ -479,7 +484,7 @@ def pseudo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels for unlabelled rows (id divisible by 50) by the vote of their five nearest gold training rows; none below 0.6."""
     b = read(spark, sf_dir, "combined").select(F.col("row_id").alias("id"), "label_source", text.plain_label(F.col("label")).alias("label"))
     rows = b.join(read(spark, sf_dir, "messages").select(F.col("row_id").alias("id"), "body"), "id")
-    v = rows.select("id", F.lit(None).cast("bigint").alias("grp"), text.char_grams(text.squeezed(F.col("body"))).alias("grams"))
+    v = rows.select("id", F.lit(None).cast("bigint").alias("grp"), text.char_grams(F.col("body")).alias("grams"))
     v = checkpointed(retrieval.vectors(v, F.col("grams")))
     gold = b.where("label_source = 'gold_train' AND label IS NOT NULL").select("id", "label")
     asked = b.where("id % 50 = 0 AND label_source = 'none'").select("id")
@@ -547,10 +552,10 @@ z AS (SELECT row_id, truth, 'always_routine' AS system, 'routine' AS predicted F
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "combined").where(F.col("label_source").isin("gold_train", "gold_test")).select("row_id", text.plain_label(F.col("label")).alias("truth"))
-    m = spread(read(spark, sf_dir, "messages").select("row_id", "body")).select("row_id", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body"), rules.DESK_RULES).alias("hits"))
+    m = spread(read(spark, sf_dir, "messages").select("row_id", "body")).select("row_id", text.body_hash(F.col("body")).alias("body_hash"), rules.hits(F.col("body")).alias("hits"))
     k = read(spark, sf_dir, "classifications").select("body_hash", text.plain_label(F.col("urgency")).alias("final"), text.plain_label(F.col("llm_urgency")).alias("label"), "score")
     x = b.join(m, "row_id").join(k, "body_hash", "left")
-    return x.withColumns({"floored": rules.floor_label(F.col("hits"), F.col("label"), rules.DESK_RULES), "by_rules": rules.floor_label(F.col("hits"), F.lit("routine"), rules.DESK_RULES)})
+    return x.withColumns({"floored": rules.floor_label(F.col("hits"), F.col("label")), "by_rules": rules.floor_label(F.col("hits"), F.lit("routine"))})
 
 
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,7 +702,7 @@ def cold_model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier fitted on gold training rows, of each core_hash the most urgent, applied to all rows, raised by rules."""
     rows = _training(spark, sf_dir)
     out = model.scored(model.fit(retrain.most_urgent(rows.where("label_source = 'gold_train'"))), rows.select("row_id", "body", "label", "label_source"))
-    final = rules.floor_label(rules.hits(F.col("body"), rules.DESK_RULES), F.col("predicted"), rules.DESK_RULES)
+    final = rules.floor_label(rules.hits(F.col("body")), F.col("predicted"))
     return out.select("row_id", "label", "predicted", final.alias("final"), rules.score_of_probability(1 - F.col("p_urgent"), final).alias("score"))
 
 
