@@ -81,6 +81,7 @@ def copies(records: DataFrame, id_col: str = "row_id", text_col: str = "body") -
     """row_id, rep: each record with the smallest id among its copies (its own where it has none)."""
     keys = spread(records.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))).select("row_id", canonical(F.col("text")).alias("key")).where("key != ''")
     keys = keys.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64("key", F.lit(1))})
+    keys = checkpointed(keys)  # finding the ranges reads the records a first time
     # 128 bits of hash order the records; ids split a hot group; full keys decide in the scan
     laid = keys.repartitionByRange("h1", "h2", "row_id").sortWithinPartitions("h1", "h2", "row_id").select("row_id", "key")
     scanned = checkpointed(laid.mapInArrow(_scan, ROWS))
