@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-NEWTON_STEPS, CLOSE_ENOUGH = 60, 1e-9
+NEWTON_STEPS, CLOSE_ENOUGH = 200, 1e-9
+#: Relative gap of a source's tokens beyond which a solution isn't accepted.
+ACCEPTED = 1e-6
 BUCKET_DOCS = 200_000
 #: Rounds of single changes that close what rounding left open, until the gap is below GAP of the source's target.
 FIXES, GAP = 8, 5e-4
@@ -42,12 +44,13 @@ def solve(hist: DataFrame, want: dict[str, tuple[float, float, float]]) -> dict[
     """lambda of each source (None: every rate at its cap) for want: source -> (tokens, cap, mean length).
 
     hist: source, n_tokens, n. The dual's gradient and curvature come from one aggregation a step; a step that
-    leaves the bracket of the root is replaced by its middle. As many numbers as sources pass through the driver.
+    leaves the bracket of the root is replaced by its middle. As many numbers as sources pass through the driver. A
+    source whose gap is above ACCEPTED after the last step is an error.
     """
     spark = hist.sparkSession
     lam = dict.fromkeys(want, 0.0)
     low, high = dict.fromkeys(want, -math.inf), dict.fromkeys(want, math.inf)
-    left = set(want)
+    left, gaps = set(want), {}
     for _ in range(NEWTON_STEPS):
         if not left:
             break
@@ -57,7 +60,7 @@ def solve(hist: DataFrame, want: dict[str, tuple[float, float, float]]) -> dict[
         r = _rate(F.col("lam"), F.col("cap"), scaled)
         sums = x.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens") * r).alias("g"), F.sum(F.when(r < F.col("cap"), F.col("n") * F.col("n_tokens") * scaled * r).otherwise(0.0)).alias("h"))
         for s, g, h in sums.collect():
-            gap = g - want[s][0]
+            gap = gaps[s] = g - want[s][0]
             if abs(gap) <= CLOSE_ENOUGH * max(1.0, want[s][0]):
                 left.discard(s)
                 continue
@@ -69,6 +72,8 @@ def solve(hist: DataFrame, want: dict[str, tuple[float, float, float]]) -> dict[
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s]) and math.isfinite(high[s]) else lam[s] + (-1.0 if gap > 0 else 1.0) * max(1.0, abs(lam[s]))
             lam[s] = step
+    if off := [s for s in left if abs(gaps[s]) > ACCEPTED * max(1.0, want[s][0])]:
+        raise ValueError(f"no rates found for {', '.join(sorted(off))} in {NEWTON_STEPS} steps")
     return lam
 
 
