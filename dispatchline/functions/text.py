@@ -23,6 +23,11 @@ def body_hash(text: Column) -> Column:
     return F.sha2(squeezed(text), 256)
 
 
+def with_id(message_id: Column, *parts: Column) -> Column:
+    """The id of a message, or twelve hex digits of its parts where it has none: the same for the same message again."""
+    return F.coalesce(message_id, F.substring(F.sha2(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts]), 256), 1, 12))
+
+
 def without_phone(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), FLAGS + PHONE, " ")
 

@@ -54,6 +54,19 @@ def rank_errors(pairs: DataFrame) -> DataFrame:
     return pairs.where(d.isNotNull()).groupBy(d.alias("off_by")).agg(F.count("*").alias("n"))
 
 
+def trap_report(long: DataFrame) -> DataFrame:
+    """Of long (trap_id, trap_kind, expected, body, channel, predicted) a row a trap: its predictions by channel and whether any is too low."""
+    low = rank(F.col("predicted")) < rank(F.col("expected"))
+    per = long.groupBy("trap_id", "trap_kind", "expected").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "predicted")))).alias("predicted"), F.coalesce(F.bool_or(low), F.lit(False)).alias("missed"), F.first(F.substring("body", 1, 120)).alias("body"))  # a few channels a trap
+    return per.withColumn("body", F.when(F.col("missed"), F.col("body")))
+
+
+def trap_counts(long: DataFrame) -> DataFrame:
+    """channel, n, exact, under, over of long (channel, expected, predicted)."""
+    d = rank(F.col("predicted")) - rank(F.col("expected"))
+    return long.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(d == 0).alias("exact"), F.count_if(d < 0).alias("under"), F.count_if(d > 0).alias("over"))
+
+
 def alert_grid(scores: DataFrame, p: str = "p", messages: str | None = None) -> DataFrame:
     """threshold and estimated alerts a day over the grid .05, .055 ... .95.
 

@@ -1,7 +1,7 @@
 """The retrainable classifier: TF-IDF of word and character grams, balanced logistic regression, versioned artifacts.
 
-The vocabulary is that of the grams in two or more training rows, without a bound; it and the coefficients lie on the
-driver. IDF has the +1 of the usual definition (MLlib's has not: the grams are weighted by its IDF plus 1) and each block
+It is fitted on at most ``MAX_ROWS`` labelled rows, taken by hash of their text where there are more, which bounds the
+vocabulary (the grams in two or more of these rows) and the coefficients, both of which lie on the driver. IDF has the +1 of the usual definition (MLlib's has not: the grams are weighted by its IDF plus 1) and each block
 is scaled to length 1. Out-of-fold scores use five folds by group of near duplicates (``setjoin.near_duplicate_groups`` of
 the core texts' words), so near copies never sit on both sides.
 """
@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, char_grams, core_text, rank, tokens, word_grams
@@ -25,6 +24,8 @@ from ..session import checkpointed
 from . import setjoin
 
 MAX_ITER = 2000
+#: Bound of the labelled rows to fit on.
+MAX_ROWS = 50_000
 MIN_DF = 2
 ALL_TERMS = (1 << 31) - 1
 
@@ -53,8 +54,11 @@ def block(rows: DataFrame, name: str) -> list:
     return [counts, weights, Normalizer(inputCol=f"_{name}_idf", outputCol=f"_{name}_v", p=2.0)]
 
 
-def fit(train: DataFrame, text_col: str = "body", label_col: str = "label", max_iter: int = MAX_ITER) -> PipelineModel:
+def fit(train: DataFrame, text_col: str = "body", label_col: str = "label", max_iter: int = MAX_ITER, max_rows: int = MAX_ROWS) -> PipelineModel:
     """Two gram blocks, then multinomial logistic regression with C = 1 (regParam 1 / n); fails if it doesn't converge."""
+    train = checkpointed(train.where(rank(F.col(label_col)).isNotNull()).select(text_col, label_col))
+    if train.count() > max_rows:
+        train = checkpointed(train.orderBy(F.xxhash64(text_col), label_col).limit(max_rows))
     rows = checkpointed(with_grams(weighted(train, label_col), text_col).select("y", "weight", "_words", "_chars"))
     features = PipelineModel([*block(rows, "words"), *block(rows, "chars"), VectorAssembler(inputCols=["_words_v", "_chars_v"], outputCol="features")])
     regression = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
@@ -90,20 +94,52 @@ def out_of_fold(train: DataFrame, folds: int = 5, text_col: str = "body", label_
     return out
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _file(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())  # a small file
+
+
+def promote(spark: SparkSession, folder: str, version: int) -> None:
+    """Make a written version the current one; earlier ones stay, so that this also rolls back."""
+    fs, at = _file(spark, f"{folder}/v{version}")
+    if not fs.exists(at):
+        raise FileNotFoundError(f"there is no version {version} in {folder}")
+    _put(spark, f"{folder}/current.txt", f"v{version}")
+
+
 def save(model: PipelineModel, folder: str, config: dict) -> int:
-    """Write the next version and point to it; returns its number."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    version = max([int(p.name[1:]) for p in root.glob("v*") if p.name[1:].isdigit()], default=0) + 1
-    model.write().save(str(root / f"v{version}" / "model"))
-    (root / f"v{version}" / "config.json").write_text(json.dumps(config | {"version": version, "classes": list(LABELS)}))
-    pointer = root / "current.tmp"
-    pointer.write_text(f"v{version}")
-    pointer.replace(root / "current.txt")
-    return version
+    """Write a new version, whole, and only then make it the current one; returns its number. Any Hadoop file system."""
+    spark = SparkSession.active()
+    fs, root = _file(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    number = 1 + max((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()), default=0)
+    model.write().save(f"{folder}/v{number}/model")
+    _put(spark, f"{folder}/v{number}/config.json", json.dumps({**config, "version": number, "classes": LABELS}))
+    promote(spark, folder, number)
+    return number
+
+
+def current_config(spark: SparkSession, folder: str) -> dict:
+    """The configuration of the current version."""
+    return json.loads(_get(spark, f"{folder}/{_get(spark, f'{folder}/current.txt').strip()}/config.json"))
 
 
 def load(folder: str) -> tuple[PipelineModel, dict]:
-    root = Path(folder)
-    at = root / (root / "current.txt").read_text().strip()
-    return PipelineModel.load(str(at / "model")), json.loads((at / "config.json").read_text())
+    """The current version and its configuration."""
+    spark = SparkSession.active()
+    config = current_config(spark, folder)
+    return PipelineModel.load(f"{folder}/v{config['version']}/model"), config

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import body_hash
 from ..session import checkpointed
 
 
@@ -65,6 +66,24 @@ def number_new_groups(rows: DataFrame, base: DataFrame, order: str, column: str
     return out.withColumn(column, F.col("next_group") + F.col("_before") + F.col("_k") - F.col("_least")).drop("_pid", "_k", "_n", "_least", "_before", "next_group")
 
 
+def add_labels(corpus: DataFrame, messages: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Corrections (seq, message_id, urgency) applied to the retrieval pool in order of ``seq``: (pool, unknown requests).
+
+    A text that is in the pool gets the last label given to it and the source ``override``; one that isn't is appended
+    with a group of its own after the highest, keeping the message_id of its first request. Requests for a message_id that no message has come back
+    apart. The pool comes out as body_hash, message_id, body, urgency, dup_group, source.
+    """
+    first = keep_first(messages.where("message_id IS NOT NULL").select("row_id", "message_id", "body"), "message_id", "row_id")
+    found = requests.join(first, "message_id").where("body IS NOT NULL").select("seq", "message_id", "urgency", "body", body_hash(F.col("body")).alias("body_hash"))
+    last = checkpointed(found.groupBy("body_hash").agg(F.max_by("urgency", "seq").alias("_urgency"), F.min_by(F.struct("message_id", "body", "seq"), "seq").alias("_first")))
+    columns = ["body_hash", "message_id", "body", "urgency", "dup_group", "source"]
+    there = corpus.select(*columns).join(last.select("body_hash", "_urgency"), "body_hash", "left")
+    there = there.withColumns({"urgency": F.coalesce("_urgency", "urgency"), "source": F.when(F.col("_urgency").isNotNull(), F.lit("override")).otherwise(F.col("source"))}).select(*columns)
+    new = last.join(corpus.select("body_hash"), "body_hash", "left_anti").select("body_hash", "_first.*", F.col("_urgency").alias("urgency"), F.lit("override").alias("source"))
+    new = number_new_groups(new, corpus, "seq").withColumn("dup_group", F.col("dup_group").cast("bigint")).select(*columns)
+    return there.unionByName(new), requests.join(first.select("message_id"), "message_id", "left_anti")
+
+
 def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
     """The rows of one key, read with the filter pushed to the scan; null finds nothing."""
     return rows.where(F.col(key) == F.lit(value))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import text
-from .operators import metrics, model, retrieval, rules, setjoin, store, timestamps
-from .plans import classify, retrain
+from .operators import grouped, metrics, model, retrieval, rules, setjoin, store, timestamps
+from .plans import classify, preprocess, retrain
 from .session import checkpointed, read, scratch, spread
 from .sources import files
 from .streaming import ingest
@@ -259,9 +259,10 @@ def _inbox(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     return store.inbox(m, read(spark, sf_dir, "classifications"), how)
 
 
-@query("inbox_by_score", HASHED_SQL + INBOX.format(""))
+@query("inbox_by_score", HASHED_SQL + INBOX.format("").replace("SELECT row_id", "SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, messages.created_at, row_id) - 1 AS pos, row_id"))
 def inbox_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inbox(spark, sf_dir, "inner").orderBy(*store.by_score()).select("row_id", "message_id", "urgency", "score")
+    """The inbox in order: most urgent first, then by arrival; ``pos`` is the place in it."""
+    return grouped.numbered(_inbox(spark, sf_dir, "inner"), *store.by_score()).orderBy("pos").select("pos", "row_id", "message_id", "urgency", "score")
 
 
 @query("inbox_left_unclassified", HASHED_SQL + INBOX.format("LEFT"))
@@ -276,10 +277,52 @@ def inbox_all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.inbox(m, read(spark, sf_dir, "classifications"), "left").select("row_id", "message_id", "urgency", "score")
 
 
-@query("classified_end_to_end")
+_OFFLINE = "CASE WHEN contains(lower(body), 'gas') AND contains(lower(body), 'leak') THEN 'emergency' WHEN contains(lower(body), 'leak') OR contains(lower(body), 'no heating') THEN 'same_day' ELSE 'routine' END"
+_INTENT = "CASE WHEN contains(lower(body), 'invoice') OR contains(lower(body), 'bill') THEN '[\"billing\"]' WHEN contains(lower(body), 'quote') THEN '[\"quote\"]' ELSE '[\"other\"]' END"
+CLASSIFIED_SQL = f"""
+WITH m AS (SELECT row_id, message_id, body, channel, received_at, sha256({_sq('body')}) AS body_hash FROM messages QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY row_id) = 1),
+o AS (SELECT body_hash, arg_min(struct_pack(body := body, channel := channel, received_at := received_at), row_id) AS x, min(row_id) AS row_id FROM m WHERE body IS NOT NULL AND body_hash NOT IN (SELECT body_hash FROM classifications) GROUP BY body_hash),
+n AS (SELECT body_hash, row_id, x.body AS body, x.channel AS channel, x.received_at AS received_at FROM o),
+k AS (SELECT body_hash, {_label('coalesce(llm_urgency, urgency)')} AS label, intent, score, reason, model, prompt_version, true AS from_cache FROM classifications
+  UNION ALL SELECT body_hash, l, {_INTENT}, CASE l WHEN 'emergency' THEN 90 WHEN 'same_day' THEN 50 ELSE 10 END, 'by plain words', 'plain-words', 'v1', false FROM (SELECT body_hash, body, {_OFFLINE} AS l FROM n)),
+a AS (SELECT m.row_id, m.message_id, m.body, m.body_hash, k.label, k.intent, k.score, k.reason, k.model, k.prompt_version, k.from_cache, {_HITS} AS hits FROM m LEFT JOIN k USING (body_hash)),
+f AS (SELECT *, {_FLOOR} AS floored FROM a),
+c AS (SELECT row_id, message_id, body_hash, floored AS urgency, intent,
+  CASE WHEN body IS NOT NULL THEN CASE WHEN label <> floored THEN greatest(least(score, 100), 0, CASE floored WHEN 'emergency' THEN 80 WHEN 'same_day' THEN 40 ELSE 0 END) ELSE greatest(0, least(100, score)) END END AS score,
+  CASE WHEN label <> floored AND len(hits) > 0 THEN reason || ' [safety rule: ' || array_to_string(hits, ', ') || ']' ELSE reason END AS reason,
+  CAST(to_json(hits) AS VARCHAR) AS rule_hits, label AS llm_urgency, model, prompt_version, from_cache FROM f)
+"""
+
+
+@query("classified_end_to_end", CLASSIFIED_SQL.replace("{_HITS}", _HITS) + "SELECT * FROM c")
 def classified_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path over all messages, with the offline classifier for cache misses."""
-    return classify.classify(read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications"), bodiless=True)
+    return classify.classify(read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications"))
+
+
+@query("answers_to_store", CLASSIFIED_SQL + "SELECT body_hash, urgency, intent, score, reason, rule_hits, llm_urgency, model, prompt_version FROM c WHERE NOT from_cache QUALIFY row_number() OVER (PARTITION BY body_hash ORDER BY row_id) = 1")
+def answers_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fresh answers as rows of the classifications table."""
+    return classify.to_store(classified_end_to_end(spark, sf_dir))
+
+
+@query(
+    "override_labels",
+    f"""WITH r AS (SELECT id AS seq, message_id, urgency FROM corpus WHERE source = 'override' AND message_id IS NOT NULL),
+p AS (SELECT * FROM corpus WHERE source <> 'override'),
+f AS (SELECT message_id, arg_min(coalesce(body, '{chr(1)}'), row_id) AS body FROM messages WHERE message_id IS NOT NULL GROUP BY message_id),
+x AS (SELECT seq, r.message_id, urgency, body, sha256({_sq('body')}) AS body_hash FROM r JOIN f USING (message_id) WHERE body <> '{chr(1)}'),
+l AS (SELECT body_hash, arg_max(coalesce(urgency, '-'), seq) AS urgency, arg_min(message_id, seq) AS message_id, min(seq) AS seq FROM x GROUP BY body_hash),
+n AS (SELECT * FROM l WHERE body_hash NOT IN (SELECT body_hash FROM p WHERE body_hash IS NOT NULL))
+SELECT p.body_hash, p.message_id, CASE WHEN l.body_hash IS NULL THEN p.urgency ELSE coalesce(nullif(l.urgency, '-'), p.urgency) END AS urgency, p.dup_group, CASE WHEN l.urgency <> '-' THEN 'override' ELSE p.source END AS source FROM p LEFT JOIN l ON p.body_hash = l.body_hash
+UNION ALL SELECT body_hash, message_id, nullif(urgency, '-'), row_number() OVER (ORDER BY seq) + (SELECT coalesce(max(dup_group), -1) FROM p), 'override' FROM n""",
+)
+def override_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of the seed after all corrections that it has as overrides."""
+    c = read(spark, sf_dir, "corpus")
+    requests = c.where("source = 'override' AND message_id IS NOT NULL").select(F.col("id").alias("seq"), "message_id", "urgency")
+    pool, _ = store.add_labels(c.where("source <> 'override'"), read(spark, sf_dir, "messages"), requests)
+    return pool.select("body_hash", "message_id", "urgency", "dup_group", "source")
 
 
 # --- near duplicates --------------------------------------------------------------------------------------------------
@@ -336,11 +379,16 @@ def contradictory_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled_groups(spark, sf_dir).groupBy("root").agg(F.count_distinct("label").alias("n_labels"), F.count("*").alias("n_rows")).where("n_labels > 1")
 
 
-@query("seed_corpus", SETS_SQL + f", l AS ({LABELLED_SQL}) SELECT min(id) AS id, min(label) AS label FROM l WHERE label IS NOT NULL GROUP BY root HAVING count(DISTINCT label) = 1")
+SEED_SQL = SETS_SQL.replace("FROM corpus WHERE body IS NOT NULL", f"FROM corpus WHERE body IS NOT NULL AND {_label('urgency')} IS NOT NULL")
+
+
+@query("seed_corpus", SEED_SQL + f", l AS ({LABELLED_SQL}), k AS (SELECT root, min(id) AS id, min(label) AS label FROM l GROUP BY root HAVING count(DISTINCT label) = 1) SELECT id, label, row_number() OVER (ORDER BY id) - 1 AS dup_group FROM k")
 def seed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One representative of each group whose labels agree; contradictory groups are dropped, as the seed rule says."""
-    g = _labelled_groups(spark, sf_dir).where("label IS NOT NULL").groupBy("root").agg(F.min("id").alias("id"), F.min("label").alias("label"), F.count_distinct("label").alias("k"))
-    return g.where("k = 1").select("id", "label")
+    """One representative of each group of labelled rows whose labels agree, with a dense group number; groups that contradict are dropped."""
+    c = checkpointed(read(spark, sf_dir, "corpus").select("id", "body", text.plain_label(F.col("urgency")).alias("label")).where("body IS NOT NULL AND label IS NOT NULL"))
+    g = setjoin.near_duplicate_groups(c, "id", _corpus_words()).join(c.select("id", "label"), "id")
+    g = g.groupBy("root").agg(F.min("id").alias("id"), F.min("label").alias("label"), F.count_distinct("label").alias("k"))
+    return grouped.numbered(g.where("k = 1").select("id", "label"), F.col("id")).select("id", "label", F.col("pos").alias("dup_group"))
 
 
 @query("deconflict_upward", f"SELECT core_hash, arg_max(row_id, {{'r': {_rank('label')}, 'i': -row_id}}) AS row_id, max({_rank('label')}) AS rank FROM (SELECT core_hash, row_id, {_label('label')} AS label FROM combined) WHERE label IS NOT NULL AND core_hash IS NOT NULL GROUP BY core_hash")
@@ -356,19 +404,34 @@ def conflict_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where("k > 1").agg(F.count("*").alias("n"))
 
 
-@query(
-    "grouped_split",
-    f"""WITH b AS (SELECT row_id, core_hash, coalesce({_rank(_label('label'))}, -1) AS r FROM combined WHERE core_hash IS NOT NULL),
-h AS (SELECT core_hash, max(r) AS stratum FROM b GROUP BY core_hash),
-f AS (SELECT core_hash, (row_number() OVER (PARTITION BY stratum, core_hash[1:2] ORDER BY core_hash) + ascii(core_hash[2:2])) % 2 AS fold FROM h)
-SELECT row_id, fold FROM b JOIN f USING (core_hash)""",
-)
+GOLD_SQL = f"""
+WITH RECURSIVE b AS (SELECT row_id AS id, {_rank(_label('c.label'))} AS r, m.body FROM combined c JOIN messages m USING (row_id) WHERE label_source IN ('gold_train', 'gold_test') AND {_label('c.label')} IS NOT NULL),
+w AS (SELECT id, list_sort(list_filter(list_distinct(string_split({_cold('body')}, ' ')), lambda w: w <> '')) AS t FROM b WHERE body IS NOT NULL),
+s AS (SELECT min(id) AS rep, t FROM w WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT x.rep AS a, y.rep AS b FROM s x JOIN s y ON x.rep <> y.rep AND len(list_intersect(x.t, y.t)) > 0.6 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))),
+r AS (SELECT rep AS node, rep AS other FROM s UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS root FROM r GROUP BY node),
+g AS (SELECT b.id, b.r, coalesce(c.root, -1) AS root FROM b LEFT JOIN w USING (id) LEFT JOIN s USING (t) LEFT JOIN c ON s.rep = c.node),
+h AS (SELECT root, max(r) AS stratum, count(*) AS n FROM g GROUP BY root),
+f AS (SELECT root, CASE WHEN (row_number() OVER (ORDER BY stratum DESC, n DESC, root) - 1) % 4 IN (0, 3) THEN 0 ELSE 1 END AS fold FROM h)
+"""
+
+
+@query("grouped_split", GOLD_SQL + "SELECT id, root, fold FROM g JOIN f USING (root)")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Halves in which rows of one core_hash stay together and labels are spread alike."""
-    b = read(spark, sf_dir, "combined").where("core_hash IS NOT NULL").select("row_id", "core_hash", F.coalesce(text.rank(text.plain_label(F.col("label"))), F.lit(-1)).alias("r"))
-    h = b.groupBy("core_hash").agg(F.max("r").alias("stratum"))
-    k = F.row_number().over(Window.partitionBy("stratum", F.substring("core_hash", 1, 2)).orderBy("core_hash"))
-    return b.join(h.select("core_hash", ((k + F.ascii(F.substring("core_hash", 2, 1))) % 2).cast("bigint").alias("fold")), "core_hash").select("row_id", "fold")
+    """Halves of the rows labelled by hand, in which near duplicates stay together and labels and sizes are spread alike."""
+    rows = _training(spark, sf_dir).where(F.col("label_source").isin("gold_train", "gold_test"))
+    return grouped.disjoint(checkpointed(grouped.halves(rows, text.tokens(text.core_text(F.col("body"))))))
+
+
+@query("preprocessed_train")
+def preprocessed_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table of the preparation plan, as written and read; rows with an id divisible by 50 ask for a pseudo label."""
+    b = read(spark, sf_dir, "combined").select("row_id", F.when(F.col("label_source").isin("gold_train", "gold_test"), F.col("label")).alias("gold_label"), F.coalesce("source", F.lit("messages")).alias("source"))
+    m = read(spark, sf_dir, "messages").select("row_id", "message_id", "received_at", "channel", "from_name", "body")
+    folder = scratch(spark, "prepared")
+    preprocess.write(preprocess.preprocess(b.join(m, "row_id"), F.col("row_id") % 50 == 0), folder)
+    return spark.read.parquet(f"{folder}/train").select("row_id", "core_hash", "label", "label_source", "confidence")
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
@@ -426,16 +489,18 @@ def nn1_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "few_shot_prompt",
     TOP_SQL.format(guard=GUARD)
-    + f"""SELECT query_id, count(*) AS n_shots, sha256(string_agg('Example (labelled ' || coalesce({_label('urgency')}, 'none') || '):' || chr(10) || coalesce(body, ''), chr(10) ORDER BY rank)) AS prompt_hash
-FROM k JOIN corpus USING (id) WHERE rank <= 3 GROUP BY query_id""",
+    + f"""SELECT query_id, count(*) AS n_shots, sha256(string_agg('Example (labelled ' || coalesce({_label('c.urgency')}, 'none') || ' by the office manager):' || chr(10) || coalesce(c.body, '') || chr(10), chr(10) ORDER BY rank)
+  || chr(10) || 'Message to classify:' || chr(10) || 'channel: ' || coalesce(any_value(m.channel), '') || chr(10) || 'received: ' || coalesce(any_value(m.received_at), '') || chr(10) || any_value(coalesce(q.body, ''))) AS prompt_hash
+FROM k JOIN corpus c USING (id) JOIN corpus q ON q.id = k.query_id LEFT JOIN (SELECT message_id, arg_min(coalesce(channel, ''), row_id) AS channel, arg_min(coalesce(received_at, ''), row_id) AS received_at FROM messages GROUP BY message_id) m ON m.message_id = q.message_id
+WHERE rank <= 3 GROUP BY query_id""",
 )
 def few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retrieved examples as one text, in order of similarity (hashed here)."""
-    label = F.coalesce(text.plain_label(F.col("urgency")), F.lit("none"))
-    shot = F.concat(F.lit("Example (labelled "), label, F.lit("):\n"), F.coalesce("body", F.lit("")))
-    c = read(spark, sf_dir, "corpus").select("id", shot.alias("shot"))
-    s = _top(spark, sf_dir, True).join(c, "id").groupBy("query_id").agg(F.count("*").alias("n_shots"), F.array_sort(F.collect_list(F.struct("rank", "shot"))).alias("s"))
-    return s.select("query_id", "n_shots", F.sha2(F.array_join("s.shot", "\n"), 256).alias("prompt_hash"))
+    """The prompt of each query: its examples in order of similarity, then the message with channel and time (hashed here)."""
+    c = read(spark, sf_dir, "corpus")
+    m = store.keep_first(read(spark, sf_dir, "messages").where("message_id IS NOT NULL").select("row_id", "message_id", "channel", "received_at"), "message_id", "row_id")
+    asked = c.select(F.col("id").alias("query_id"), "message_id", "body").join(m.drop("row_id"), "message_id", "left")
+    x = classify.shots_of(_top(spark, sf_dir, True), c).join(asked, "query_id")
+    return x.select("query_id", F.size("shots").cast("bigint").alias("n_shots"), F.sha2(classify.prompt(F.col("shots"), F.col("channel"), F.col("received_at"), F.col("body")), 256).alias("prompt_hash"))
 
 
 DENSE_SQL = """
@@ -607,6 +672,29 @@ def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir).where("label <> floored OR label <> final").select("row_id", "truth", "label", "floored")
 
 
+@query("hot_cold_crosstab", PAIRS_SQL + f"SELECT coalesce(final, 'none') AS hot, count(*) FILTER (label = 'routine') AS routine, count(*) FILTER (label = 'same_day') AS same_day, count(*) FILTER (label = 'emergency') AS emergency, count(*) FILTER (label IS NULL) AS none FROM y GROUP BY ALL")
+def hot_cold_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored label of each evaluated row against that of the model alone."""
+    x = _evaluated(spark, sf_dir).select(F.coalesce("final", F.lit("none")).alias("hot"), F.coalesce("label", F.lit("none")).alias("cold"))
+    return x.groupBy("hot").pivot("cold", [*text.LABELS, "none"]).count().na.fill(0)
+
+
+@query("disagreement_rate", PAIRS_SQL + "SELECT count(*) FILTER (label <> final) AS n_differ, count(*) AS n, round(count(*) FILTER (label <> final) * 90.0 / count(*), 6) AS per_day FROM y WHERE label IS NOT NULL AND final IS NOT NULL")
+def disagreement_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows on which the stored label and that of the model differ, and how many a day that makes."""
+    x = _evaluated(spark, sf_dir).where("label IS NOT NULL AND final IS NOT NULL").agg(F.count_if(F.col("label") != F.col("final")).alias("n_differ"), F.count("*").alias("n"))
+    return x.select("n_differ", "n", F.round(F.try_divide(F.col("n_differ") * F.lit(float(metrics.PER_DAY)), F.col("n")), 6).alias("per_day"))
+
+
+@query("conflict_members", f"WITH b AS (SELECT row_id, core_hash, {_label('label')} AS label FROM combined WHERE core_hash IS NOT NULL) SELECT core_hash, row_id, label, left(body, 90) AS body FROM b JOIN messages USING (row_id) WHERE label IS NOT NULL AND core_hash IN (SELECT core_hash FROM b GROUP BY core_hash HAVING count(DISTINCT label) > 1)")
+def conflict_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows of each core_hash with contradicting labels, with the start of their text for a report."""
+    b = read(spark, sf_dir, "combined").where("core_hash IS NOT NULL").select("row_id", "core_hash", text.plain_label(F.col("label")).alias("label"))
+    torn = b.groupBy("core_hash").agg(F.count_distinct("label").alias("k")).where("k > 1").select("core_hash")
+    m = read(spark, sf_dir, "messages").select("row_id", F.substring("body", 1, 90).alias("body"))
+    return b.where("label IS NOT NULL").join(torn, "core_hash", "left_semi").join(m, "row_id").select("core_hash", "row_id", "label", "body")
+
+
 @query("rank_error_counts", PAIRS_SQL + f"SELECT {_rank('final')} - {_rank('truth')} AS off_by, count(*) AS n FROM y WHERE final IS NOT NULL AND truth IS NOT NULL GROUP BY ALL")
 def rank_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rank_errors(_stored_pairs(spark, sf_dir))
@@ -635,6 +723,18 @@ def miss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _systems(spark, sf_dir).where("predicted IS NOT NULL AND truth IS NOT NULL").groupBy("row_id").agg(F.bool_or(low).alias("missed"), F.count_if(low).alias("n_low"))
 
 
+@query("predictions", f"SELECT message_id, urgency, score, reason, 'hot' AS source FROM messages m JOIN classifications k ON sha256({_sq('m.body')}) = k.body_hash")
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions table: the messages that have a stored answer."""
+    return files.predictions(read(spark, sf_dir, "messages"), read(spark, sf_dir, "classifications"))
+
+
+@query("systems_by_rank", PAIRS_SQL + f"SELECT system AS channel, count(*) AS n, count(*) FILTER ({_rank('predicted')} = {_rank('truth')}) AS exact, count(*) FILTER ({_rank('predicted')} < {_rank('truth')}) AS under, count(*) FILTER ({_rank('predicted')} > {_rank('truth')}) AS over FROM z GROUP BY system")
+def systems_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each system ranks exactly, too low, too high, as the trap report counts."""
+    return metrics.trap_counts(_systems(spark, sf_dir).select(F.col("system").alias("channel"), F.col("truth").alias("expected"), "predicted"))
+
+
 @query("label_source_crosstab", f"SELECT coalesce(label_source, '(none)') AS label_source, count(*) FILTER (l = 'routine') AS routine, count(*) FILTER (l = 'same_day') AS same_day, count(*) FILTER (l = 'emergency') AS emergency, count(*) FILTER (l IS NULL) AS none FROM (SELECT label_source, {_label('label')} AS l FROM combined) GROUP BY ALL")
 def label_source_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "combined").select(F.coalesce("label_source", F.lit("(none)")).alias("label_source"), F.coalesce(text.plain_label(F.col("label")), F.lit("none")).alias("l"))
@@ -713,10 +813,13 @@ def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.out_of_fold(rows, prepare=retrain.most_urgent).select("row_id", "fold", "label", "predicted", F.round("p_urgent", 6).alias("p_urgent"))
 
 
-@query("stream_ingest_once", "SELECT DISTINCT message_id FROM messages")
+@query("stream_ingest_once", f"""
+WITH m AS (SELECT row_id, message_id, body, sha256({_sq('body')}) AS body_hash FROM messages QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY row_id) = 1),
+a AS (SELECT m.*, {_label('k.llm_urgency')} AS label, {_HITS} AS hits FROM m LEFT JOIN classifications k USING (body_hash))
+SELECT row_id, message_id, body_hash, label, array_to_string(hits, ',') AS rule_hits, {_FLOOR} AS final_label FROM a""")
 def stream_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over the message files until nothing is left; each message_id comes out once."""
+    """The stream over the message files until nothing is left; each message_id comes out once, as its first row."""
     folder = scratch(spark, "stream")
     stream = ingest.ingest(ingest.arriving(spark, f"{sf_dir}/messages.parquet", 2), read(spark, sf_dir, "classifications"))
     ingest.run_once(stream, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").select("message_id")
+    return spark.read.parquet(f"{folder}/out").select("row_id", "message_id", "body_hash", "label", "rule_hits", "final_label")

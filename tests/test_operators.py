@@ -144,12 +144,44 @@ def test_alert_threshold_without_scores_and_without_room(spark):
     assert metrics.alert_threshold(scores.where("p = 0.9").select(F.lit(1.0).alias("p"))).first().threshold is None
 
 
-def test_classifier_is_asked_once_a_hash_and_refused_if_wrong(spark):
-    m = spark.createDataFrame([(1, "a", "Hello there", None), (2, "b", "hello, there!", None), (3, "b", "other", None), (4, "c", None, None)], "row_id bigint, message_id string, body string, created_at timestamp")
+def test_classifier_is_asked_once_a_hash_and_bad_answers_are_set_apart(spark):
+    m = spark.createDataFrame([(1, "a", "Hello there", None, "sms"), (2, "b", "hello, there!", None, None), (3, "b", "other", None, None), (4, "c", None, None, None), (5, "d", "gas leak", None, None)], "row_id bigint, message_id string, body string, created_at timestamp, channel string")
     k = spark.createDataFrame([], "body_hash string, urgency string, llm_urgency string, score int, reason string")
-    assert sorted(r.row_id for r in classify.classify(m, k).collect()) == [1, 2]
-    with pytest.raises(Exception, match="unknown label"):
-        classify.classify(m, k, lambda texts: [("maybe", 1, "")] * len(texts)).collect()
+    out = {r.row_id: r for r in classify.classify(m, k).collect()}
+    assert sorted(out) == [1, 2, 4, 5]
+    assert (out[5].urgency, out[5].intent, out[5].rule_hits, out[4].urgency, out[4].from_cache) == ("emergency", '["other"]', '["gas_smell"]', None, None)
+    assert classify.to_store(classify.classify(m, k)).count() == 2
+
+    def stubborn(asked):
+        assert all("Message to classify" in p for p in asked["prompt"])
+        return [("maybe" if "gas" in b else "routine", ["other"], 140, "x") for b in asked["body"]]
+
+    bad = classify.classify(m, k, stubborn, pause_s=0.0)
+    assert {r.row_id: r.reason for r in classify.quarantined(bad).collect()} == {5: "refused: unknown label 'maybe'"}
+    assert {r.score for r in classify.to_store(bad).collect()} == {100}
+
+    def broken(asked):
+        raise OSError("away")
+
+    assert {r.reason for r in classify.quarantined(classify.classify(m, k, broken, pause_s=0.0)).collect()} == {"no answer: away"}
+
+
+def test_cache_key_of_model_and_prompt_version(spark):
+    m = spark.createDataFrame([(1, "a", "x")], "row_id bigint, message_id string, body string")
+    k = m.select(text.body_hash(F.col("body")).alias("body_hash"), F.lit("same_day").alias("llm_urgency"), F.lit(None).cast("string").alias("urgency"), F.lit(45).alias("score"), F.lit("r").alias("reason"), F.lit("a").alias("model"), F.lit("v1").alias("prompt_version"))
+    assert classify.classify(m, k).first().from_cache
+    assert classify.classify(m, k, model="a", prompt_version="v1").first().urgency == "same_day"
+    other = classify.classify(m, k, model="a", prompt_version="v2").first()
+    assert (other.from_cache, other.prompt_version) == (False, "v2")
+
+
+def test_corrections(spark):
+    m = spark.createDataFrame([(1, "a", "Leak!"), (2, "b", "bill"), (3, "a", "other"), (4, "n", None)], "row_id bigint, message_id string, body string")
+    pool = m.where("row_id = 2").select(text.body_hash(F.col("body")).alias("body_hash"), F.lit("old").alias("message_id"), "body", F.lit("routine").alias("urgency"), F.lit(7).cast("bigint").alias("dup_group"), F.lit("seed").alias("source"))
+    asked = spark.createDataFrame([(1, "b", "same_day"), (2, "a", "same_day"), (3, "a", "emergency"), (4, "zz", "routine"), (5, "n", "routine")], "seq bigint, message_id string, urgency string")
+    after, unknown = store.add_labels(pool, m, asked)
+    assert sorted((r.message_id, r.urgency, r.dup_group, r.source) for r in after.collect()) == [("a", "emergency", 8, "override"), ("old", "same_day", 7, "override")]
+    assert [r.message_id for r in unknown.collect()] == ["zz"]
 
 
 def test_files(spark, tmp_path):

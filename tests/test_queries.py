@@ -4,7 +4,7 @@ from dispatchline import queries
 
 from .conftest import SMALL
 
-SLOW = {"cold_model_predictions", "oof_scores"}
+SLOW = {"oof_scores"}  # five fits; tests of the model fit folds on small rows
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
