@@ -2,7 +2,7 @@
 
 The similarity hash of a text is the set of bits its words switch on, words being longest runs of letters and
 digits in lower case. Texts of both sides are joined by ``setjoin.similar_sets``: codes are permuted so that bits of rare
-words come first, joined on blocks of one or two leading bits, filtered by two 64-bit fingerprints within their Hamming
+words come first, joined on blocks of one or two leading bits, filtered by 64-bit fingerprints within their Hamming
 radius, and verified on whole word sets; no pair within the radius is missed.
 
 The dealt scheme, blocks of a code of fixed length joined across splits, can't give every pair here: two texts that share
@@ -27,6 +27,8 @@ from ..operators import setjoin
 from ..session import checkpointed
 
 SIMILAR = 0.8
+#: Blocks of two bits for texts of up to 128 words, of one beyond.
+PAIR_LEAD = 27
 
 
 def words(text: Column) -> Column:
@@ -46,7 +48,7 @@ def text_classes(rows: DataFrame, messages: DataFrame, similar: float = SIMILAR)
     """(id, side, rep) of the rows that have words, and the pairs (rep_eval, rep_train) of similar texts."""
     text = messages.select(F.col("row_id").alias("id"), F.col("body").alias("text"))
     sets, member = setjoin.distinct_sets(rows.select("id", "side").join(text, "id"), "id", words(F.col("text")), "side")
-    pairs = setjoin.similar_sets(sets, similar, strict=False, side=("side", "eval", "train"))
+    pairs = setjoin.similar_sets(sets, similar, strict=False, side=("side", "eval", "train"), pair_lead=PAIR_LEAD)
     return member, pairs.select(F.col("a").alias("rep_eval"), F.col("b").alias("rep_train"))
 
 
