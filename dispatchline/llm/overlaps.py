@@ -64,7 +64,8 @@ def cross_split_overlaps(combined: DataFrame, messages: DataFrame, corpus: DataF
     member, pairs = text_classes(rows, messages, similar)
     own = lambda side: member.where(F.col("side") == side).select(F.col("rep").alias(f"rep_{side}"), F.col("id").alias(f"id_{side}"))
     by_text = pairs.join(own("eval"), "rep_eval").join(own("train"), "rep_train").select("id_eval", "id_train")
-    tied = checkpointed(rows.select("id", "side").join(group_sets(rows, corpus), "id").select("id", "side", F.explode("groups").alias("dup_group")))
+    groups = corpus.where("dup_group is not null and message_id is not null").select("message_id", "dup_group").distinct()
+    tied = checkpointed(rows.select("id", "side", "message_id").join(groups, "message_id").select("id", "side", "dup_group"))
     of = lambda side: tied.where(F.col("side") == side).select("dup_group", F.col("id").alias(f"id_{side}"))
     return by_text.unionByName(of("eval").join(of("train"), "dup_group").select("id_eval", "id_train")).distinct()
 
