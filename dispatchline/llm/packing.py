@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, spread
+from ..session import checkpointed
 
 SHARD_ITEMS, ISLANDS, EPOCHS, ROUNDS = 400, 2, 2, 3
 POPULATION, GENERATIONS = 6, 10
@@ -145,7 +145,10 @@ def _pack_round(items: DataFrame, number: int) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("doc_id", "piece_no", "n_tokens")))
     shards = dealt.groupBy("pack_name", "capacity", "shard").agg(rows.alias("r"))
     state = shards.select("pack_name", "capacity", "shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("r.doc_id").alias("ids"), F.col("r.piece_no").alias("pieces"), F.col("r.n_tokens").cast("array<int>").alias("sizes"), F.expr("cast(array() as array<array<int>>)").alias("population"))
-    state = spread(state.repartition("pack_name", "shard", "island"))
+    # a shard's work is far larger than its data, so the partitions aren't left to be merged by their size
+    spark = items.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    state = state.repartition(tasks, "pack_name", "shard", "island")
     none = F.expr("cast(null as array<int>)").alias("migrant")
     for epoch in range(EPOCHS):
         if epoch:
