@@ -45,7 +45,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize(("name", "rows"), [("near_dup_groups", 1600), ("cluster_sizes", 2), ("seed_corpus", 1450), ("jaccard_pairs", 100), ("contradictory_clusters", 50)])
+@pytest.mark.parametrize(("name", "rows"), [("near_dup_groups", 1600), ("cluster_sizes", 2), ("seed_corpus", 1450), ("jaccard_pairs", 100), ("contradictory_clusters", 50), ("grouped_split", 1600)])
 def test_set_join_moves_no_keys(spark, folder, name, rows):
     held = spark.sparkContext._jsc.sc().statusStore()
     written = lambda: sum(x.totalShuffleWrite() for x in (held.executorList(False).apply(i) for i in range(held.executorList(False).size())))
