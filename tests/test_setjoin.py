@@ -1,7 +1,12 @@
 """The join of word sets inside tasks: against brute force, and without moving keys."""
 
 import random
+import tracemalloc
+import types
+import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +57,52 @@ def test_set_join_moves_no_keys(spark, folder, name, rows):
     before = written()
     assert queries.QUERIES[name](spark, folder).count() == rows
     assert written() - before < 9e5  # keys and codes took 1.5 MB and more
+
+
+def test_hits_of_a_word_are_not_listed():
+    rng = np.random.default_rng(5)
+    words = np.sort(np.argsort(rng.random((4000, 200)), axis=1)[:, :40], axis=1).astype("<i4")
+    words[3000:, :36] = words[:1000, :36]
+    words[3000:, 36:] = 200 + np.arange(4)
+    rep, n = np.arange(4000), np.full(4000, 40, np.int32)
+    block = types.SimpleNamespace(value=(rep, n, n, zlib.compress(words.tobytes())))
+    pdf = pd.DataFrame({"rep": rep, "n": n, "ids": [w.tobytes() for w in words]})
+    tracemalloc.start()
+    got = pd.concat(setjoin._pairs(block, 0.6, True)(iter([pdf])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i, 3000 + i) for i in range(1000)} <= set(zip(got.a, got.b))
+    assert peak < 40e6  # lists of hits took 51 MB
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_against_brute_force(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(setjoin, "FOREST", 0)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(400 + i, 401 + i) for i in range(70)]
+    root = {i: i for e in edges for i in e} | {900: 900}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes = spark.createDataFrame([(i,) for i in root], "node bigint")
+    got = setjoin.components(nodes, spark.createDataFrame(edges, "a bigint, b bigint").repartition(3))
+    assert {r.node: r.root for r in got.collect()} == root
+
+
+@pytest.fixture(scope="module")
+def chain(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("chain"))
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 12)), "routine") for i in range(90)] + [(100 + i, f"x{i} y{i // 2} z{i // 2} v{i // 2} u{i // 2}", ("routine", "emergency")[i % 2]) for i in range(8)]
+    spark.createDataFrame(rows, "id bigint, body string, urgency string").write.parquet(f"{at}/corpus.parquet")
+    spark.createDataFrame([(i, b) for i, b, _ in rows], "row_id bigint, body string").write.parquet(f"{at}/messages.parquet")
+    spark.createDataFrame([(i, x) for i, _, x in rows], "row_id bigint, label string").select("row_id", "label", F.lit("gold_train").alias("label_source"), F.lit("h").alias("core_hash")).write.parquet(f"{at}/combined.parquet")
+    return at
+
+
+@pytest.mark.parametrize(("name", "rows"), [("cluster_sizes", 2)])
+def test_a_long_chain_takes_few_jobs(spark, chain, name, rows):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert queries.QUERIES[name](spark, chain).count() == rows
+    assert jobs() - before < 45  # rounds over the edges took more than a hundred
