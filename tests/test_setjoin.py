@@ -100,7 +100,7 @@ def chain(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize(("name", "rows"), [("cluster_sizes", 2), ("grouped_split", 98), ("seed_corpus", 1)])
+@pytest.mark.parametrize(("name", "rows"), [("cluster_sizes", 2), ("grouped_split", 98), ("seed_corpus", 1), ("contradictory_clusters", 4)])
 def test_a_long_chain_takes_few_jobs(spark, chain, name, rows):
     jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
     before = jobs()
