@@ -106,3 +106,18 @@ def test_a_long_chain_takes_few_jobs(spark, chain, name, rows):
     before = jobs()
     assert queries.QUERIES[name](spark, chain).count() == rows
     assert jobs() - before < 45  # rounds over the edges took more than a hundred
+
+
+def test_pairs_do_not_depend_on_cuts(monkeypatch):
+    for name, n in (("CELLS", 7), ("HITS", 5), ("SETS", 30)):
+        monkeypatch.setattr(setjoin, name, n)
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(25), rng.randrange(1, 12))) for _ in range(200)]
+    n = np.array([len(s) for s in sets], np.int32)
+    packed = [np.array(s, "<i4").tobytes() for s in sets]
+    pdf = pd.DataFrame({"rep": np.arange(200), "n": n, "ids": packed})
+    block = types.SimpleNamespace(value=(np.arange(200), n, n, zlib.compress(b"".join(packed))))
+    got = pd.concat(setjoin._pairs(block, 0.6, True)(iter([pdf[:20], pdf[20:45], pdf[45:]])))
+    want = {(a, b) for b in range(200) for a in range(b) if len({*sets[a]} & {*sets[b]}) > 0.6 * len({*sets[a]} | {*sets[b]})}
+    assert len(got) == len(want)
+    assert set(zip(got.a, got.b)) == want
