@@ -1,13 +1,19 @@
 """The classifier: folds, features, fit."""
 
 import math
+import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from dispatchline import queries
 from dispatchline.functions import text
 from dispatchline.operators import model, setjoin
 
+from .conftest import SMALL
+
 
 def test_five_folds_that_split_no_group_of_near_duplicates(spark):
     words = [f"w{i}" for i in range(400)]
@@ -38,3 +44,40 @@ def test_fit_converges_or_fails(spark):
     assert model.fit(rows).stages[-1].summary.totalIterations < model.MAX_ITER
     with pytest.raises(ValueError, match="convergence"):
         model.fit(rows, max_iter=1)
+
+
+def test_texts_are_solved_in_a_task_and_scored_as_by_the_stages(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("leak", "bill", "boiler", "gas", "no") for b in ("", "s", "ing", "er")] + ["Ünit", "a", "x1"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 12))), rng.choice(text.LABELS)) for i in range(120)] + [(200, None, "routine")]
+    df = spark.createDataFrame(rows, "row_id bigint, body string, label string")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    fitted = model.fit(df)
+    assert jobs() - before < 12  # a job a step took more than fifty
+    y, at = F.array_position(F.array(*[F.lit(x) for x in text.LABELS]), F.col("label")).cast("int") - 1, vector_to_array("probability")
+    by_stage = {r.row_id: r for r in fitted.transform(model.with_grams(df)).withColumns({"y": y, "p": at}).collect()}
+    for r in model.scored(fitted, df).collect():
+        assert r.p_urgent == pytest.approx(1 - by_stage[r.row_id].p[0], abs=1e-9)
+        assert r.predicted == text.LABELS[int(by_stage[r.row_id].prediction)]
+    # at the minimum, the slope of the loss is the penalty's
+    x, p, y = (np.array([v(r) for r in by_stage.values()]) for v in (lambda r: r.features.toArray(), lambda r: r.p, lambda r: r.y))
+    weight = len(y) / (3 * np.bincount(y)[y])
+    slope = ((p - np.eye(3)[y]) * weight[:, None]).T @ x + fitted.stages[-1].coefficientMatrix.toArray()
+    assert abs(slope).max() < 0.02
+    assert abs(((p - np.eye(3)[y]) * weight[:, None]).sum(axis=0)).max() < 0.02
+
+
+def test_folds_are_solved_at_once(spark):
+    rows = [(i, f"{'water leak now' if i % 2 else 'please send the invoice'} q{i}a q{i}b q{i}c q{i}d q{i}e q{i}f", "emergency" if i % 2 else "routine") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, body string, label string")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    out = model.out_of_fold(df)
+    assert out.where("predicted = label").count() == 40
+    assert jobs() - before < 60  # a job a step took more than a hundred
+
+
+def test_each_pattern_is_looked_for_once(spark):
+    plan = queries.QUERIES["cold_model_predictions"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("carbon monoxide") == 1  # it was there for each use of the label
