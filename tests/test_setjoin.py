@@ -121,3 +121,14 @@ def test_pairs_do_not_depend_on_cuts(monkeypatch):
     want = {(a, b) for b in range(200) for a in range(b) if len({*sets[a]} & {*sets[b]}) > 0.6 * len({*sets[a]} | {*sets[b]})}
     assert len(got) == len(want)
     assert set(zip(got.a, got.b)) == want
+
+
+@pytest.mark.parametrize(("name", "most"), [("seed_corpus", 700_000), ("jaccard_pairs", 400_000)])
+def test_what_is_kept_of_a_run(spark, folder, tmp_path, name, most):
+    old = spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    queries.QUERIES[name](spark, folder).count()
+    if old.isDefined():
+        spark.sparkContext.setCheckpointDir(old.get())
+    kept = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert kept < most
