@@ -89,3 +89,17 @@ def test_traps(spark):
     report = {r.trap_id: r for r in metrics.trap_report(long).collect()}
     assert report["t5"].missed and report["t5"].predicted == {"rules": "routine", "always": "routine"} and report["t5"].body == TRAPS[5][4]
     assert not report["t1"].missed and report["t1"].body is None
+
+
+def test_words_of_halves_are_made_once(spark):
+    rows = rows_of_groups(20, 2)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(body):
+        made.add(1)
+        return body.split()
+
+    df = spark.createDataFrame(rows, "row_id bigint, body string, label string")
+    assert grouped.halves(df, words("body")).count() == len(rows)
+    assert made.value == len(rows)  # they were made again for each pass over the words

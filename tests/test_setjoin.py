@@ -132,3 +132,13 @@ def test_what_is_kept_of_a_run(spark, folder, tmp_path, name, most):
         spark.sparkContext.setCheckpointDir(old.get())
     kept = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
     assert kept < most
+
+
+def test_words_as_text_or_array(spark):
+    rows = [(1, "b a  a"), (2, "a b"), (3, " "), (4, None), (5, ""), (6, "c"), (7, "łazienka İ a"), (8, "a")]
+    df = spark.createDataFrame(rows, "id bigint, body string").repartition(3)
+    want = {1: 1, 2: 1, 6: 6, 7: 7, 8: 8}
+    for words in (F.col("body"), F.split("body", " "), text.tokens(F.col("body"))):
+        sets, member = setjoin.encoded_sets(df, "id", words)
+        assert {r.id: r.rep for r in member.collect()} == want
+        assert {r.rep: (r.n, len(r.ids) // 4) for r in sets.collect()} == {1: (2, 2), 6: (1, 0), 7: (3, 1), 8: (1, 1)}
