@@ -135,10 +135,30 @@ def test_what_is_kept_of_a_run(spark, folder, tmp_path, name, most):
 
 
 def test_words_as_text_or_array(spark):
-    rows = [(1, "b a  a"), (2, "a b"), (3, " "), (4, None), (5, ""), (6, "c"), (7, "łazienka İ a"), (8, "a")]
+    rows = [(1, "B a \n a"), (2, "a,\u00a0B"), (3, " "), (4, None), (5, "\u00e9-\u0436"), (6, "C!"), (7, "łazienka7 \u0130\u212a a"), (8, "a"), (9, "7AZIENKA\u0144a ik"), (10, "\U0001f6bfa")]
     df = spark.createDataFrame(rows, "id bigint, body string").repartition(3)
-    want = {1: 1, 2: 1, 6: 6, 7: 7, 8: 8}
-    for words in (F.col("body"), F.split("body", " "), text.tokens(F.col("body"))):
-        sets, member = setjoin.encoded_sets(df, "id", words)
+    squeezed = text.squeezed(F.col("body"))
+    sets = {}
+    for r in df.select("id", text.tokens(squeezed).alias("t")).orderBy("id").collect():
+        if r.t:
+            sets.setdefault(frozenset(r.t), []).append(r.id)
+    want = {i: ids[0] for ids in sets.values() for i in ids}
+    assert len(want) == 7 and want[2] == 1 and want[10] == 8
+    for words in (F.lower(F.col("body")), squeezed, F.split(squeezed, " "), text.tokens(squeezed)):
+        got, member = setjoin.encoded_sets(df, "id", words)
         assert {r.id: r.rep for r in member.collect()} == want
-        assert {r.rep: (r.n, len(r.ids) // 4) for r in sets.collect()} == {1: (2, 2), 6: (1, 0), 7: (3, 1), 8: (1, 1)}
+        assert {r.rep: r.n for r in got.collect()} == {ids[0]: len(s) for s, ids in sets.items()}
+
+
+def test_an_index_serves_all_tasks_of_a_block(monkeypatch):
+    made = []
+    monkeypatch.setattr(setjoin.zlib, "decompress", lambda x, f=zlib.decompress: made.append(1) or f(x))
+    sets = [[0, 1, 2, 3], [0, 1, 2, 4], [7, 8]]
+    n = np.array([4, 4, 2], np.int32)
+    packed = [np.array(s, "<i4").tobytes() for s in sets]
+    pdf = pd.DataFrame({"rep": np.arange(3), "n": n, "ids": packed})
+    blocks = [types.SimpleNamespace(value=(np.arange(3), n, n, zlib.compress(b"".join(packed)))) for _ in range(2)]
+    for block in (blocks[0], blocks[0], blocks[1], blocks[1]):
+        got = pd.concat(setjoin._pairs(block, 0.5, True)(iter([pdf])))
+        assert list(zip(got.a, got.b)) == [(0, 1)]
+    assert len(made) == 2  # each task made its own
