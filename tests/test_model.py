@@ -81,3 +81,15 @@ def test_folds_are_solved_at_once(spark):
 def test_each_pattern_is_looked_for_once(spark):
     plan = queries.QUERIES["cold_model_predictions"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("carbon monoxide") == 1  # it was there for each use of the label
+
+
+def _words(spark, number, rows):
+    """Rows of one word, of a number of words whose grams no other has, one after the other; the word tells the label."""
+    i = F.col("row_id") % number
+    word = F.concat(*[F.decode(F.unhex(F.hex(c + 0x4E00)), "UTF-16BE") for c in (F.floor(i / 150), i % 150 + 4096)])
+    return spark.range(rows).select(F.col("id").alias("row_id")).withColumns({"body": word, "label": F.when(i % 2 == 0, "routine").otherwise("emergency")})
+
+
+def test_all_rows_are_fitted_however_many(spark):
+    fitted = model.fit(_words(spark, 25_500, 51_000))
+    assert len(fitted.stages[0].vocabulary) == 25_500  # each word is in two rows, 50,000 rows have fewer such words
