@@ -93,3 +93,9 @@ def _words(spark, number, rows):
 def test_all_rows_are_fitted_however_many(spark):
     fitted = model.fit(_words(spark, 25_500, 51_000))
     assert len(fitted.stages[0].vocabulary) == 25_500  # each word is in two rows, 50,000 rows have fewer such words
+
+
+def test_each_fold_is_fitted_on_all_rows_of_the_others(spark, monkeypatch):
+    monkeypatch.setattr(model, "dealt", lambda rows, folds, text_col: rows.withColumn("fold", F.pmod(F.col("row_id"), F.lit(folds))))
+    out = model.out_of_fold(_words(spark, 21_336, 64_008))  # a word's three rows are in three folds, so the other two tell its label
+    assert out.where("predicted = label").count() == 64_008
